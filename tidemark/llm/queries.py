@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
@@ -15,6 +16,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
+def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.chat import digests, format_conversations
+
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return digests(format_conversations(turns.unionByName(own)))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pieces import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From six shards by source, one of them large, to eight of near-equal bytes."""
+    from tidemark.llm.resharding import reshard
+
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(6))
+    placed = reshard(table(spark, sf_dir, "documents"), old, 8)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

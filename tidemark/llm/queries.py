@@ -16,6 +16,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
+def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pivots import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.chat import digests, format_conversations
 

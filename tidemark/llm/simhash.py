@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import UnionFind, cut, words_of
+from tidemark.llm.common import UnionFind, cells, cut, words_of
 from tidemark.llm.components import connected_components
 
 #: Fingerprints that one tree may hold; a shard with more is split into cells of two such parts.
@@ -146,16 +146,7 @@ def links(prints: DataFrame, radius: int, shards: list[list[int]], lanes: int =
     """
     names = [f"f{i}" for i in range(lanes)]
     keyed = prints.select("id", *names, F.explode(F.array(*[_shard_key(p, i + 1) for i, p in enumerate(shards)])).alias("shard"))
-    hot = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    parts = F.ceil(F.col("n") / F.lit(tree_nodes)).cast("int")
-    # A shard with one row has no pair; the join drops it.
-    keyed = keyed.join(hot, "shard").withColumn("parts", parts)
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", *names
-    )
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "part")
+    dealt = cells(keyed, ["shard"], "id", tree_nodes).select("shard", "i", "j", "part", "id", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
@@ -191,7 +182,7 @@ def links(prints: DataFrame, radius: int, shards: list[list[int]], lanes: int =
         close()
         yield _edges(out)
 
-    return cells.mapInArrow(run, "a long, b long, distance int")
+    return dealt.mapInArrow(run, "a long, b long, distance int")
 
 
 def _edges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:

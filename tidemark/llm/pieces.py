@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +15,9 @@ from tidemark.llm.tokenizers_ import PIECES, vocabulary_path
 
 SPACE = "▁"
 #: Segments whose ids one worker remembers.
-MEMO = 300_000
+MEMO = 400_000
+#: Pairs of neighbours whose fit it remembers.
+PAIRS = 1_000_000
 
 
 class PieceCodec:
@@ -57,17 +60,24 @@ class PieceCodec:
         self.unk_surface = trainer.unk_surface.encode()
         self.is_byte = [p.type == 6 for p in model.pieces]
         self.names = [str(i) for i in range(len(model.pieces))]
+        self.size = len(model.pieces)
+        self.text = [p.piece for p in model.pieces]
+        self.length = list(map(len, self.text))
+        #: Number of the longest piece that is a proper prefix of a piece; -1 if there is none.
+        self.shorter = [next((self.id[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.id), -1) for t in self.text]
         self.trie = ahocorasick.Automaton()
-        for p in self.score:
-            self.trie.add_word(p, p)
+        for p, i in self.id.items():
+            self.trie.add_word(p, i)
         self.trie.make_automaton()
         inner = {c for p in self.score for c in p[1:]} | {p[0] for p in self.score if len(p) > 1}
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.score)
         alone = "" if "\n" in inner else "\n"
         self.cut = re.compile((f"{alone}|" if alone else "") + (f".+" if crossing else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"), re.DOTALL)
+        # Two generations: when the young one is full it becomes the old one.
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.shorter: dict[str, str | None] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known = frozenset(p for p in self.score if len(p) == 1)
 
     def merged(self, text: str) -> list[str]:
         """Merging by score, highest first and leftmost among equals: the definition itself."""
@@ -90,58 +100,68 @@ class PieceCodec:
                     heappush(queue, (-self.score[q], a, q))
         return [p for p in parts if p is not None]
 
-    def fits(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
+    def _fits(self, last: int, own: int) -> bool:
+        """Whether two neighbours come out of merging their joint string again."""
+        a, b = self.text[last] if last >= 0 else "", self.text[own]
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        known = self.pairs[last * self.size + own] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def next_shorter(self, piece: str) -> str | None:
-        if piece not in self.shorter:
-            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.score), None)
-        return self.shorter[piece]
-
-    def _known(self, text: str) -> list[str]:
-        """Pieces of a text in which each character is in the vocabulary."""
-        n = len(text)
-        longest: list[str | None] = [None] * (n + 1)
-        for end, p in self.trie.iter(text):
-            start = end + 1 - len(p)
-            if longest[start] is None or len(p) > len(longest[start]):
-                longest[start] = p
-        open_ = (1 << n + 1) - 1
-        pieces: list[str] = []
-        at, piece = 0, longest[0]
-        while piece is not None:
-            last = pieces[-1] if pieces else ""
-            while True:
-                end = at + len(piece)
-                if open_ >> end & 1 and self.fits(last, piece):
-                    pieces.append(piece)
-                    at, piece = end, longest[end]
-                    break
-                shorter = self.next_shorter(piece)
-                if shorter is None:
-                    open_ &= ~(1 << at)
-                    piece = pieces.pop()
-                    at -= len(piece)
-                    break
-                piece = shorter
-        return pieces
-
-    def _segment(self, text: str) -> tuple[int, ...]:
+    def _known(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts in which each character is in the vocabulary, from one automaton pass."""
+        joined = "\0".join(texts)  # no piece holds this mark, so no match crosses it
+        longest = [-1] * (len(joined) + 2)
+        length, shorter, n = self.length, self.shorter, self.size
+        for end, i in self.trie.iter(joined):  # ends ascend, so the last for a start is the longest
+            longest[end + 1 - length[i]] = i
+        failed = bytearray(len(joined) + 2)
+        pairs, out, begin = self.pairs, [], 0
+        for text in texts:
+            ids: list[int] = []
+            last, at, own = -1, begin, longest[begin]
+            begin += len(text) + 1
+            while own >= 0:
+                while True:
+                    if not failed[at + length[own]]:
+                        fits = pairs.get(last * n + own)
+                        if fits is None:
+                            fits = self._fits(last, own)
+                        if fits:
+                            ids.append(own)
+                            at += length[own]
+                            last, own = own, longest[at]
+                            break
+                    own = shorter[own]
+                    if own < 0:
+                        failed[at] = 1
+                        own = ids.pop()
+                        at -= length[own]
+                        last = ids[-1] if ids else -1
+                        break
+            out.append(ids)
+        return out
+
+    def _segments(self, parts: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """Each part with its ids; characters outside the vocabulary become their bytes."""
+        plain = []
+        for part in parts:
+            if part.startswith(SPACE * 2) or not self.known.issuperset(part):
+                yield part, self._mixed(part)
+            else:
+                plain.append(part)
+        for part, pieces in zip(plain, self._known(plain), strict=True):
+            yield part, tuple(pieces)
+
+    def _mixed(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
         begin = 0
         for i in range(len(text) + 1):
-            if i == len(text) or text[i] not in self.score:
+            if i == len(text) or text[i] not in self.known:
                 if begin < i:
-                    part = text[begin:i]
+                    own = text[begin:i]
                     # Runs of one repeated mark hold pieces of equal score, where order alone decides.
-                    found = self.merged(part) if part.startswith(SPACE * 2) else self._known(part)
-                    ids += [self.id[p] for p in found]
+                    ids += map(self.id.__getitem__, self.merged(own)) if own.startswith(SPACE * 2) else self._known([own])[0]
                 if i < len(text):
                     ids += [self.byte_id[b] for b in text[i].encode("utf-8", "surrogatepass")]
                 begin = i + 1
@@ -153,17 +173,24 @@ class PieceCodec:
         text = text.replace(" ", SPACE)
         if self.prefix:
             text = SPACE + text
-        memo, ids = self.memo, []
-        for part in self.cut.findall(text):
-            known = memo.get(part)
-            if known is None:
-                known = self._segment(part)
-                if len(part) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = known
-            ids += known
-        return ids
+        parts = self.cut.findall(text)
+        memo, old = self.memo, self.old
+        if len(memo) >= MEMO:
+            self.old = old = memo
+            self.memo = memo = {}
+        found = list(map(memo.get, parts))
+        if None in found:
+            fresh = []
+            for p in {p for p, ids in zip(parts, found, strict=True) if ids is None}:
+                if (ids := old.get(p)) is None:
+                    fresh.append(p)
+                else:
+                    memo[p] = ids
+            long = {}
+            for p, ids in self._segments(fresh):
+                (memo if len(p) <= 64 else long)[p] = ids
+            found = [memo.get(p) or long[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: control pieces are empty, broken byte runs become U+FFFD, the prefix goes."""

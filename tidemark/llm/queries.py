@@ -31,6 +31,13 @@ def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(own)))
 
 
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pieces import digest_documents
 

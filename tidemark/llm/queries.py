@@ -31,6 +31,18 @@ def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(own)))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import score_documents, train
 

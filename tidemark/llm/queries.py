@@ -43,6 +43,12 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.blocks import deduplicate_words
+
+    return deduplicate_words(table(spark, sf_dir, "documents"), window=13)
+
+
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import score_documents, train
 

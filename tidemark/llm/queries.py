@@ -62,6 +62,12 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffixes import deduplicate_bytes
+
+    return deduplicate_bytes(table(spark, sf_dir, "documents"), window=50)
+
+
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From six shards by source, one of them large, to eight of near-equal bytes."""
     from tidemark.llm.resharding import reshard

@@ -93,17 +93,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Hot keys that may be broadcast; more are joined by a shuffle.
+HOT_KEYS = 50_000
+
+
 def cells(df: DataFrame, key: list[str], spread: str, limit: int) -> DataFrame:
-    """Rows of each key with another row, dealt to cells (i, j) that hold two parts of it at most.
+    """Rows dealt to cells (i, j) of their key, each of which holds two parts of it at most.
 
     A key of up to ``limit`` rows is one cell, (0, 0). A larger one has its rows dealt by a hash of
     ``spread`` to parts of about ``limit`` rows, and each pair of parts meets in one cell, so every
     pair of rows meets and no task holds a hot key whole. Adds ``i, j, part``; sorted by them.
     """
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    parted = df.join(counts, key).withColumn("_k", F.ceil(F.col("_n") / F.lit(limit)).cast("int"))
+    spark = df.sparkSession
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = cut(counts.withColumn("_k", F.ceil(F.col("_n") / F.lit(limit)).cast("int")).drop("_n"))
+    few = hot.limit(HOT_KEYS + 1).collect()
+    if len(few) <= HOT_KEYS:
+        hot = F.broadcast(spark.createDataFrame(few, hot.schema))
+    parted = df.join(hot, key, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
     parted = parted.withColumn("part", F.pmod(F.xxhash64(spread), F.col("_k")).cast("int"))
     dealt = parted.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    dealt = dealt.withColumns({"i": F.least("part", "_o"), "j": F.greatest("part", "_o")}).drop("_n", "_k", "_o")
-    n = shuffle_partitions(df.sparkSession)
-    return dealt.repartition(n, *key, "i", "j").sortWithinPartitions(*key, "i", "j", "part")
+    dealt = dealt.withColumns({"i": F.least("part", "_o"), "j": F.greatest("part", "_o")}).drop("_k", "_o")
+    return dealt.repartition(shuffle_partitions(spark), *key, "i", "j").sortWithinPartitions(*key, "i", "j", "part")

@@ -161,6 +161,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+    """The rows of docs that overlap no benchmark item (see ``contaminated``), with all columns."""
+    out = docs
+    for part in _parts(benchmark, index_words):
+        names = [f"c{i}" for i in range(len(docs.columns))]
+        numbered = out.select(F.lit(None).cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+        found = _searched(numbered, SeedIndex.build(_items(benchmark, part)), *names).where(F.size("overlaps") == 0)
+        out = found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return out
+
+
 def _searched(rows: DataFrame, index: SeedIndex, *keep: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index)
     fields = pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("agree", pa.int32())])
@@ -185,7 +196,8 @@ def _searched(rows: DataFrame, index: SeedIndex, *keep: str) -> DataFrame:
                     ["doc_id", *keep, "n_words", "overlaps"],
                 )
 
-    kept = "".join(f"{k} long, " for k in keep)
+    kinds = dict(rows.dtypes)
+    kept = "".join(f"{k} {kinds[k]}, " for k in keep)
     schema = f"doc_id long, {kept}n_words long, overlaps array<struct<item_id:long,begin:int,end:int,agree:int>>"
     return rows.select("doc_id", "text", *keep).mapInArrow(run, schema)
 

@@ -22,13 +22,13 @@ NO_ID = np.iinfo(np.int64).max
 BLOBS = "bucket int, chunk long, data binary"
 
 
-def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """doc_id, text and chunk, dealt by chunk; and the number of buckets for so much text."""
+def chunked(docs: DataFrame, chunk_bytes: int, keep: tuple[str, ...] = (), buckets_per_chunk: float = 0.25) -> tuple[DataFrame, int]:
+    """doc_id, text, chunk and kept columns as c0, c1, ..., dealt by chunk; and a number of buckets."""
     _, total = text_bytes(docs)
     chunks = chunk_count(total, chunk_bytes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    return rows.repartition(shuffle_partitions(docs.sparkSession), "chunk"), max(4, chunks // 4)
+    return rows.repartition(shuffle_partitions(docs.sparkSession), "chunk"), max(4, round(chunks * buckets_per_chunk))
 
 
 def send(docs: DataFrame, pack: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:

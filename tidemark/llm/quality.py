@@ -130,12 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranker:
     return fit_pairs(x, got.column("y").to_numpy())
 
 
-def score_documents(docs: DataFrame, model: Ranker, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and kept columns for every row of docs.
-
-    Only the text is an input. Null, empty and blank texts have zero features and are scored like
-    any other; equal texts have equal scores; an empty table gives an empty one.
-    """
+def _scored(docs: DataFrame, model: Ranker, keep: list[str]) -> DataFrame:
+    """The kept columns as c0, c1, ... and ``score``, for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -144,15 +140,27 @@ def score_documents(docs: DataFrame, model: Ranker, keep: tuple[str, ...] = ())
                 x = np.array([features(t.as_py()) for t in batch.column(0)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.scores(x))], [*batch.schema.names[1:], "score"])
 
-    carried = [c for c in keep if c != "doc_id"]
-    inner = [F.col(c).alias(f"c{i}") for i, c in enumerate(["doc_id", *carried])]
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(["doc_id", *carried])) + ", score double"
-    scored = docs.select(F.col("text").alias("t"), *inner).mapInArrow(run, schema)
-    return scored.select(
+    schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(keep)) + ", score double"
+    return docs.select(F.col("text").alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, model: Ranker) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of docs.
+
+    Only the text is an input. Null, empty and blank texts have zero features and are scored like
+    any other; equal texts have equal scores; other columns are ignored; an empty table gives an
+    empty one.
+    """
+    return _scored(docs, model, ["doc_id"]).select(
         F.col("c0").alias("doc_id"),
-        *[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(carried)],
         held_out(F.col("c0").cast("string")).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, model: Ranker) -> DataFrame:
+    """The rows of docs that the model scores 0.5 or more, with all their columns."""
+    scored = _scored(docs, model, docs.columns).where("score >= 0.5")
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64
 from tidemark.llm.exchange import (
@@ -30,6 +31,7 @@ WINDOW, ANCHOR = 50, 16
 CHUNK_BYTES = 2 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:int,end:int>>"
 _POSITION = np.uint64((1 << 28) - 1)
+NO_RANK = np.iinfo(np.int32).max
 _BASE = 0x9E3779B97F4A7C15
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -145,7 +147,8 @@ class _Bytes:
         last = np.append(first[1:], len(s)) - 1 if len(s) else s
         self.s, self.e = s[first], s[last] + window
         self.offset = p[first] - self.s
-        self.anchor = h[p[first]]
+        # Least hashes crowd at the low end; mixed once more they spread over the buckets.
+        self.anchor = mix64(h[p[first]] ^ np.uint64(_BASE))
         self.row = np.searchsorted(self.ends, self.s, "right")
 
     def _rolling(self, k: int) -> np.ndarray:
@@ -232,7 +235,11 @@ class _Pieces:
 
 
 def _least_holders(hashes: np.ndarray, least: np.ndarray, size: np.ndarray, offset: np.ndarray, raw: np.ndarray, window: int, k: int) -> np.ndarray:
-    """For each piece and window column, the smallest doc_id that holds the window's bytes."""
+    """For each piece and window column, the smallest holder of the window's bytes.
+
+    ``least`` and the result are ranks of doc_ids, to be small; windows that aren't there have the
+    largest rank of all.
+    """
     tail = window - k + 1
     begin = tail - 1 - offset.astype(np.int64)
     length = size.astype(np.int64)
@@ -240,7 +247,7 @@ def _least_holders(hashes: np.ndarray, least: np.ndarray, size: np.ndarray, offs
     matrix = np.zeros((m, window + tail - 1), dtype=np.uint8)
     ramp = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     matrix[np.repeat(np.arange(m), length), np.repeat(begin, length) + ramp] = raw
-    low = np.full((m, tail), NO_ID, dtype=np.int64)
+    low = np.full((m, tail), NO_RANK, dtype=np.int32)
     with tempfile.TemporaryDirectory() as folder:
         for column, order, lcp in ColumnSuffixes(matrix, begin, begin + length, folder).rounds():
             if column < tail and len(order):
@@ -248,7 +255,7 @@ def _least_holders(hashes: np.ndarray, least: np.ndarray, size: np.ndarray, offs
                 groups = np.minimum.reduceat(least[order], starts)
                 low[order, column] = np.repeat(groups, np.diff(np.append(starts, len(order))))
     columns = np.arange(tail)
-    low[(columns < begin[:, None]) | (columns > (begin + length - window)[:, None])] = NO_ID
+    low[(columns < begin[:, None]) | (columns > (begin + length - window)[:, None])] = NO_RANK
     return low
 
 
@@ -263,13 +270,16 @@ def _resolve(blobs: list[bytes], window: int, k: int) -> list[bytes | None]:
     ends = np.cumsum(size, dtype=np.int64)
     length = size[pick].astype(np.int64)
     bytes_ = raw[np.repeat(ends[pick] - length - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
-    low = _least_holders(h[pick], np.minimum.reduceat(least[order], starts), size[pick], offset[pick], bytes_, window, k)
-    useful = low < np.maximum.reduceat(most[order], starts)[:, None]
-    padded = np.pad(np.where(useful, low, NO_ID), ((0, 0), (1, 1)), constant_values=NO_ID)
+    del raw
+    ids, rank = np.unique(np.minimum.reduceat(least[order], starts), return_inverse=True)
+    low = _least_holders(h[pick], rank.astype(np.int32), size[pick], offset[pick], bytes_, window, k)
+    useful = low < np.searchsorted(ids, np.maximum.reduceat(most[order], starts)).astype(np.int32)[:, None]
+    low[~useful] = NO_RANK
+    padded = np.pad(low, ((0, 0), (1, 1)), constant_values=NO_RANK)
     change = padded[:, 1:] != padded[:, :-1]
     piece, first = np.nonzero(change[:, :-1] & useful)
     _, last = np.nonzero(change[:, 1:] & useful)
-    value = low[piece, first]
+    value = ids[low[piece, first]]
     count = np.bincount(piece, minlength=len(pick))
     base = np.cumsum(count) - count
     out: list[bytes | None] = []
@@ -284,11 +294,12 @@ def _resolve(blobs: list[bytes], window: int, k: int) -> list[bytes | None]:
     return out
 
 
-def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte of a ``window``-byte string that also starts in a document with a smaller doc_id.
 
     Texts are their UTF-8 bytes; matches never cross documents and are judged on the input. Returns
     ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``spans``, the maximal removed ranges.
+    ``keep`` names columns to carry along; they come back as ``c0, c1, ...`` in that order.
     A null or empty text has no bytes; a row without a doc_id removes nothing and keeps all; equal
     doc_ids aren't smaller than each other; other columns aren't read; an empty table gives an
     empty one. A cut may fall inside a character; see ``cut_texts`` for texts.
@@ -301,7 +312,10 @@ def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     an interval is known for each window of each piece. (3) Bytes are removed. Pieces of equal bytes
     are told apart by 64 bits of hash; whatever differs is compared byte by byte in the sorting.
     """
-    rows, buckets = chunked(docs, chunk_bytes)
+    rows, buckets = chunked(docs, chunk_bytes, keep, buckets_per_chunk=1.0)
+    carried = [f"c{i}" for i in range(len(keep))]
+    kinds = dict(docs.dtypes)
+    schema = SCHEMA + "".join(f", {c} {kinds[k]}" for c, k in zip(carried, keep, strict=True))
 
     def anchors(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         yield from _Bytes(table, window, anchor).distinct_anchors().packed(buckets)
@@ -346,15 +360,41 @@ def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             out.append((len(text), len(text) - len(kept), len(edges), hashlib.sha256(kept).hexdigest(), [{"begin": a, "end": b} for a, b in edges]))
             begin = end
         cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
         return pa.table(
-            [pa.array(own.doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+            [pa.array(own.doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), *(table.column(c) for c in carried)],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *carried],
         )
 
     hits = answer(send(rows, anchors), shared_hashes)
     found = answer(send_again(rows, hits, pieces), lambda blobs: _resolve(blobs, window, anchor))
-    return receive(rows, found, remove, SCHEMA)
+    return receive(rows, found, remove, schema)
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with their columns, each text without its repeats and n_chars to match.
+
+    A text that repeats end to end has nothing left, and its row goes; null and empty texts stay.
+    """
+    names = docs.columns
+    found = deduplicate_bytes(docs, keep=tuple(names), **options)
+    carried = [f"c{i}" for i in range(len(names))]
+    text = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(text).to_pylist()
+            new = [cut_text(t, [(s["begin"], s["end"]) for s in own]) for t, own in zip(old, batch.column(len(names)).to_pylist(), strict=True)]
+            columns = [pa.array(new, pa.string()) if k == text else batch.column(k) for k in range(len(names))]
+            keep = pa.array([bool(t) or not o for t, o in zip(new, old, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, carried).filter(keep)
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"{c} {kinds[n]}" for c, n in zip(carried, names, strict=True))
+    out = found.select(*carried, "spans").mapInArrow(run, schema).toDF(*names)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(kinds["n_chars"]))
+    return out
 
 
 def cut_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import releasing
 from tidemark.llm.tokenizers_ import BYTE_BPE, fast_tokenizer, vocabulary_path
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -110,7 +111,7 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant", fold
             yield encode([*done, (current, own)])
 
     schema = "conv_id long, formatted string, ids array<int>, loss_mask array<boolean>, turn_spans array<struct<begin:int,end:int>>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def digests(formatted: DataFrame, folder: str | None = None) -> DataFrame:
@@ -133,7 +134,7 @@ def digests(formatted: DataFrame, folder: str | None = None) -> DataFrame:
             )
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("conv_id", "formatted", "ids", "loss_mask").mapInArrow(run, schema)
+    return formatted.select("conv_id", "formatted", "ids", "loss_mask").mapInArrow(releasing(run), schema)
 
 
 def _sha(text: str) -> str:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, mix64, words_of
+from tidemark.llm.common import cut, mix64, releasing, words_of
 
 #: A window of this many words is an overlap if at least so many of them agree (0.8 and more).
 WINDOW, AGREE = 13, 11
@@ -147,12 +147,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
     slices = list(_parts(benchmark, index_words))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if len(slices) == 1:
-        return _summary(_searched(rows, SeedIndex.build(_items(benchmark, slices[0]))))
+        return _summary(_searched(rows, SeedIndex.build(_items(benchmark, slices[0])), "doc_id"))
     # A pass for each slice; rows get a number of their own to put the passes together again.
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     found = None
     for part in slices:
-        one = _searched(rows, SeedIndex.build(_items(benchmark, part)), "row")
+        one = _searched(rows, SeedIndex.build(_items(benchmark, part)), "doc_id", "row")
         found = one if found is None else found.unionByName(one)
     return _summary(
         found.groupBy("row").agg(
@@ -163,16 +163,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX
 
 def clean(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
     """The rows of docs that overlap no benchmark item (see ``contaminated``), with all columns."""
-    out = docs
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = f"c{docs.columns.index('text')}"
+    out = docs.toDF(*names)
     for part in _parts(benchmark, index_words):
-        names = [f"c{i}" for i in range(len(docs.columns))]
-        numbered = out.select(F.lit(None).cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
-        found = _searched(numbered, SeedIndex.build(_items(benchmark, part)), *names).where(F.size("overlaps") == 0)
-        out = found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
-    return out
+        out = _searched(out, SeedIndex.build(_items(benchmark, part)), *names, text=text).where(F.size("overlaps") == 0).select(*names)
+    return out.toDF(*docs.columns)
 
 
-def _searched(rows: DataFrame, index: SeedIndex, *keep: str) -> DataFrame:
+def _searched(rows: DataFrame, index: SeedIndex, *keep: str, text: str = "text") -> DataFrame:
+    """The kept columns of every row, its number of words and its overlaps."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
     fields = pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("agree", pa.int32())])
 
@@ -182,7 +182,7 @@ def _searched(rows: DataFrame, index: SeedIndex, *keep: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                hashes = [word_hashes(words_of(t.as_py(), lower=True)) for t in batch.column(1)]
+                hashes = [word_hashes(words_of(t.as_py(), lower=True)) for t in batch.column(text)]
                 # All documents are probed at once; a gap of blank words lies between them.
                 joined = np.concatenate([x for h in hashes for x in (h, gap)])
                 begins = np.cumsum([0, *(len(h) + WINDOW for h in hashes)])
@@ -192,14 +192,14 @@ def _searched(rows: DataFrame, index: SeedIndex, *keep: str) -> DataFrame:
                 spans = [index.overlaps(h) if k in hit else [] for k, h in enumerate(hashes)]
                 rows_ = [[dict(zip(("item_id", "begin", "end", "agree"), s, strict=True)) for s in own] for own in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *batch.columns[2:], pa.array([len(h) for h in hashes], pa.int64()), pa.array(rows_, pa.list_(fields))],
-                    ["doc_id", *keep, "n_words", "overlaps"],
+                    [*(batch.column(k) for k in keep), pa.array([len(h) for h in hashes], pa.int64()), pa.array(rows_, pa.list_(fields))],
+                    [*keep, "n_words", "overlaps"],
                 )
 
     kinds = dict(rows.dtypes)
     kept = "".join(f"{k} {kinds[k]}, " for k in keep)
-    schema = f"doc_id long, {kept}n_words long, overlaps array<struct<item_id:long,begin:int,end:int,agree:int>>"
-    return rows.select("doc_id", "text", *keep).mapInArrow(run, schema)
+    schema = f"{kept}n_words long, overlaps array<struct<item_id:long,begin:int,end:int,agree:int>>"
+    return rows.select(*dict.fromkeys([*keep, text])).mapInArrow(releasing(run), schema)
 
 
 def _summary(found: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunk_count, shuffle_partitions, text_bytes
+from tidemark.llm.common import chunk_count, release, shuffle_partitions, text_bytes
 
 #: doc_id of rows without one: they are larger than any other and have nothing removed.
 NO_ID = np.iinfo(np.int64).max
@@ -35,7 +35,10 @@ def send(docs: DataFrame, pack: Callable[[pa.Table], Iterator[tuple[int, bytes]]
     """(bucket, data) that ``pack`` makes of each chunk's documents."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        return _table(((b, key[0].as_py(), d) for b, d in pack(rows)))
+        try:
+            return _table(((b, key[0].as_py(), d) for b, d in pack(rows)))
+        finally:
+            release()
 
     return docs.groupBy("chunk").applyInArrow(run, BLOBS)
 
@@ -45,6 +48,7 @@ def answer(sent: DataFrame, meet: Callable[[list[bytes]], list[bytes | None]]) -
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         answers = meet(rows.column("data").to_pylist())
+        release()
         return _table((key[0].as_py(), c, a) for c, a in zip(rows.column("chunk").to_pylist(), answers, strict=True) if a is not None)
 
     return sent.groupBy("bucket").applyInArrow(run, BLOBS)
@@ -54,8 +58,10 @@ def receive(docs: DataFrame, answers: DataFrame, use: Callable[[pa.Table, list[b
     """``use`` gets each chunk's documents and its answers by ascending bucket."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("bucket")
-        return use(rows, found.column("data").to_pylist())
+        try:
+            return use(rows, found.sort_by("bucket").column("data").to_pylist())
+        finally:
+            release()
 
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 

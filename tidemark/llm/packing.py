@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import releasing
 from tidemark.llm.tokenizers_ import BYTE_BPE_RANKS, rank_encoding, vocabulary_path
 
 #: Ids in one row, and the id that ends every document (free in the vocabulary).
@@ -160,7 +161,7 @@ def pack_documents(docs: DataFrame, row_ids: int = ROW_IDS, buffer_ids: int = BU
             yield _packed(held, row_ids)
 
     schema = "ids binary, n_ids int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), schema)
 
 
 def position_ids(cu_seqlens: list[int], row_ids: int = ROW_IDS) -> np.ndarray:

@@ -11,13 +11,14 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import releasing
 from tidemark.llm.tokenizers_ import PIECES, vocabulary_path
 
 SPACE = "▁"
 #: Segments whose ids one worker remembers.
-MEMO = 400_000
+MEMO = 250_000
 #: Pairs of neighbours whose fit it remembers.
-PAIRS = 1_000_000
+PAIRS = 600_000
 
 
 class PieceCodec:
@@ -192,6 +193,10 @@ class PieceCodec:
             found = [memo.get(p) or long[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
         return list(chain.from_iterable(found))
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; a worker outlives its task."""
+        self.memo, self.old, self.pairs = {}, {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: control pieces are empty, broken byte runs become U+FFFD, the prefix goes."""
         own = self.bytes
@@ -241,9 +246,10 @@ def map_texts(docs: DataFrame, row, columns: list[tuple[str, pa.DataType, str]],
                 rows = [row(own, t) for t in part.column(1).to_pylist()]
                 data = [pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *data], ["doc_id", *(c for c, _, _ in columns)])
+        own.forget()
 
     schema = "doc_id long, " + ", ".join(f"{name} {sql}" for name, _, sql in columns)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(releasing(run), schema)
 
 
 def encode_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:

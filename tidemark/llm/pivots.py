@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cells, cut
+from tidemark.llm.common import cells, cut, releasing
 from tidemark.llm.components import connected_components
 
 #: Vectors that are drawn as pivots: a fixed bound, whatever the size of the table.
@@ -86,8 +86,7 @@ def _posted(classes: DataFrame, pivots: np.ndarray, nearest: int, shared: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(keys_), *taken.columns], ["key", *taken.schema.names])
 
     kind = dict(classes.dtypes)["embedding"]
-    return classes.select("cls", "id", "copies", "embedding").mapInArrow(
-        run, f"key long, cls long, id long, copies long, embedding {kind}, tops array<int>"
+    return classes.select("cls", "id", "copies", "embedding").mapInArrow(releasing(run), f"key long, cls long, id long, copies long, embedding {kind}, tops array<int>"
     )
 
 
@@ -189,7 +188,7 @@ def _linked(posted: DataFrame, threshold: float, shared: int, list_rows: int) ->
         if cell and (out := close(cell[0], first, second, cell[1] == cell[2])):
             yield out
 
-    return dealt.mapInArrow(run, "cls long, n long, a long, b long")
+    return dealt.mapInArrow(releasing(run), "cls long, n long, a long, b long")
 
 
 def _flat(label: np.ndarray) -> np.ndarray:

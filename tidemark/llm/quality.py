@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import releasing
+
 #: Labelled rows that the model is fitted on: a fixed bound, drawn by a hash of the id.
 FIT_ROWS = 12_000
 #: Preference pairs drawn from them.
@@ -123,26 +125,30 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranker:
             x = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "y"])
 
-    found = both.select(F.col("doc_id").cast("long"), "text", "_y").mapInArrow(run, "doc_id long, x array<double>, y int")
+    found = both.select(F.col("doc_id").cast("long"), "text", "_y").mapInArrow(releasing(run), "doc_id long, x array<double>, y int")
     # Repeated ids may give more rows than labels; the bound holds for what reaches the driver.
     got = found.orderBy("doc_id", "y", "x").limit(rows).toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, k)
     return fit_pairs(x, got.column("y").to_numpy())
 
 
-def _scored(docs: DataFrame, model: Ranker, keep: list[str]) -> DataFrame:
-    """The kept columns as c0, c1, ... and ``score``, for every row of docs."""
+def _scored(docs: DataFrame, model: Ranker, keep: list[str], least: float | None = None) -> DataFrame:
+    """The kept columns as c0, c1, ... and ``score``, for every row that scores ``least`` or more."""
+    names = [f"c{i}" for i in range(len(keep))]
+    text = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                x = np.array([features(t.as_py()) for t in batch.column(0)])
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.scores(x))], [*batch.schema.names[1:], "score"])
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                score = model.scores(np.array([features(t.as_py()) for t in batch.column(text)]))
+                out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], [*names, "score"])
+                yield out if least is None else out.filter(pa.array(score >= least))
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(keep)) + ", score double"
-    return docs.select(F.col("text").alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
+    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)) + ", score double"
+    given = [F.col(c).alias(n) for n, c in zip(names, keep, strict=True)] + ([] if "text" in keep else [F.col("text").alias("t")])
+    return docs.select(*given).mapInArrow(releasing(run), schema)
 
 
 def score_documents(docs: DataFrame, model: Ranker) -> DataFrame:
@@ -162,5 +168,5 @@ def score_documents(docs: DataFrame, model: Ranker) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Ranker) -> DataFrame:
     """The rows of docs that the model scores 0.5 or more, with all their columns."""
-    scored = _scored(docs, model, docs.columns).where("score >= 0.5")
+    scored = _scored(docs, model, docs.columns, least=0.5)
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

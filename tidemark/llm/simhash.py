@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import UnionFind, cells, cut, words_of
+from tidemark.llm.common import UnionFind, cells, cut, releasing, words_of
 from tidemark.llm.components import connected_components
 
 #: Fingerprints that one tree may hold; a shard with more is split into cells of two such parts.
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, k: int, lanes: int = 1, lower: bool = True) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *lanes_], ["doc_id", *names])
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), schema)
 
 
 def block_shards(radius: int, bits: int = 64) -> list[list[int]]:
@@ -181,7 +181,7 @@ def links(prints: DataFrame, radius: int, shards: list[list[int]], lanes: int =
         close()
         yield _edges(out)
 
-    return dealt.mapInArrow(run, "a long, b long, distance int")
+    return dealt.mapInArrow(releasing(run), "a long, b long, distance int")
 
 
 def _edges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -229,7 +229,7 @@ def shingle_sets(rows: DataFrame, k: int, lower: bool = True) -> DataFrame:
                     sets.append(np.unique(h).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["v", "shingles"])
 
-    return rows.select("v", "text").mapInArrow(run, "v long, shingles array<long>")
+    return rows.select("v", "text").mapInArrow(releasing(run), "v long, shingles array<long>")
 
 
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -251,7 +251,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
             parts = [pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64), pa.int64()) for i in range(LANES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *parts], ["doc_id", "h1", "h2", *lanes])
 
-    prints = keyed.mapInArrow(run, "doc_id long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in lanes))
+    prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in lanes))
     texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in lanes])
     texts = cut(texts.withColumn("v", F.monotonically_increasing_id()))
     near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(TABLES, SAMPLE, 64 * LANES), LANES, TREE_LANES)

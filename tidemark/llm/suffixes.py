@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64
+from tidemark.llm.common import mix64, releasing
 from tidemark.llm.exchange import (
     NO_ID,
     Distinct,
@@ -391,7 +391,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"{c} {kinds[n]}" for c, n in zip(carried, names, strict=True))
-    out = found.select(*carried, "spans").mapInArrow(run, schema).toDF(*names)
+    out = found.select(*carried, "spans").mapInArrow(releasing(run), schema).toDF(*names)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(kinds["n_chars"]))
     return out

@@ -294,12 +294,13 @@ def _resolve(blobs: list[bytes], window: int, k: int) -> list[bytes | None]:
     return out
 
 
-def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """Remove each byte of a ``window``-byte string that also starts in a document with a smaller doc_id.
 
     Texts are their UTF-8 bytes; matches never cross documents and are judged on the input. Returns
     ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``spans``, the maximal removed ranges.
-    ``keep`` names columns to carry along; they come back as ``c0, c1, ...`` in that order.
+    ``keep`` names columns to carry along; they come back as ``c0, c1, ...`` in that order. With
+    ``texts`` there is a column ``kept_text`` too, by ``cut_text``.
     A null or empty text has no bytes; a row without a doc_id removes nothing and keeps all; equal
     doc_ids aren't smaller than each other; other columns aren't read; an empty table gives an
     empty one. A cut may fall inside a character; see ``cut_texts`` for texts.
@@ -315,7 +316,7 @@ def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     rows, buckets = chunked(docs, chunk_bytes, keep, buckets_per_chunk=1.0)
     carried = [f"c{i}" for i in range(len(keep))]
     kinds = dict(docs.dtypes)
-    schema = SCHEMA + "".join(f", {c} {kinds[k]}" for c, k in zip(carried, keep, strict=True))
+    schema = SCHEMA + "".join(f", {c} {kinds[k]}" for c, k in zip(carried, keep, strict=True)) + ", kept_text string" * texts
 
     def anchors(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         yield from _Bytes(table, window, anchor).distinct_anchors().packed(buckets)
@@ -360,10 +361,11 @@ def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             out.append((len(text), len(text) - len(kept), len(edges), hashlib.sha256(kept).hexdigest(), [{"begin": a, "end": b} for a, b in edges]))
             begin = end
         cols = list(zip(*out, strict=True)) or [()] * 5
+        new = [pa.array([cut_text(t, [(x["begin"], x["end"]) for x in o[4]]) for t, o in zip(table.column("text").to_pylist(), out, strict=True)], pa.string())] if texts else []
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
         return pa.table(
-            [pa.array(own.doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), *(table.column(c) for c in carried)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *carried],
+            [pa.array(own.doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), *(table.column(c) for c in carried), *new],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *carried, *["kept_text"] * texts],
         )
 
     hits = answer(send(rows, anchors), shared_hashes)
@@ -376,23 +378,13 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
     A text that repeats end to end has nothing left, and its row goes; null and empty texts stay.
     """
-    names = docs.columns
-    found = deduplicate_bytes(docs, keep=tuple(names), **options)
-    carried = [f"c{i}" for i in range(len(names))]
-    text = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column(text).to_pylist()
-            new = [cut_text(t, [(s["begin"], s["end"]) for s in own]) for t, own in zip(old, batch.column(len(names)).to_pylist(), strict=True)]
-            columns = [pa.array(new, pa.string()) if k == text else batch.column(k) for k in range(len(names))]
-            keep = pa.array([bool(t) or not o for t, o in zip(new, old, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, carried).filter(keep)
-
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = deduplicate_bytes(docs, keep=("doc_id", *others), texts=True, **options)
+    found = found.where("n_bytes = 0 or kept_text <> ''")
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"{c} {kinds[n]}" for c, n in zip(carried, names, strict=True))
-    out = found.select(*carried, "spans").mapInArrow(releasing(run), schema).toDF(*names)
-    if "n_chars" in names:
+    back = {"doc_id": "c0", "text": "kept_text"} | {c: f"c{i + 1}" for i, c in enumerate(others)}
+    out = found.select(*[F.col(back[c]).alias(c) for c in docs.columns])
+    if "n_chars" in others:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(kinds["n_chars"]))
     return out
 

@@ -16,6 +16,7 @@ from tidemark.operators.rules import with_buy, with_sell
 from tidemark.operators.signals import with_crossover, with_divergence, with_levels
 from tidemark.plans.config import Config, GridPoint
 from tidemark.sources.bars import numbered
+from tidemark.sources.scratch import cut
 
 
 def indicators(bars: DataFrame, config: Config) -> DataFrame:
@@ -72,7 +73,7 @@ def all_events(bars: DataFrame, ranks: DataFrame, points: list[GridPoint]) -> Da
     def once(key: tuple, build) -> DataFrame:
         text = repr(key)
         if text not in made:
-            made[text] = build().persist()
+            made[text] = cut(build())
         return made[text]
 
     parts: dict[str, tuple[DataFrame, list[int], tuple[str, ...]]] = {}
@@ -102,16 +103,19 @@ def run(bars: DataFrame, ranks: DataFrame, points: list[GridPoint], benchmark: D
     """
     spark = bars.sparkSession
     risk = points[0].config.risk
-    events = all_events(bars, ranks, points).persist()
+    bars = cut(bars)
+    events = cut(all_events(bars, ranks, points))
     lookback = {p.config.position_sizing.correlation_lookback_bars for p in points if p.config.position_sizing.reject_correlated_entries}
     correlations = None
     for n in sorted(lookback):
         own = [k for k, p in enumerate(points) if p.config.position_sizing.correlation_lookback_bars == n and p.config.position_sizing.reject_correlated_entries]
         part = S.held_correlations(events.where(F.col("combo_id").isin(own)), bars, n)
         correlations = part if correlations is None else correlations.unionByName(part)
-    records = S.simulate(events, _sizing(spark, points), correlations).persist()
+    records = S.simulate(events, _sizing(spark, points), correlations)
+    records = cut(records)
     combos = spark.range(len(points)).select(F.col("id").cast("int").alias("combo_id"))
-    curve = M.equity_curve(records, bars, combos, risk.portfolio_warmup_bars).persist()
+    curve = M.equity_curve(records, bars, combos, risk.portfolio_warmup_bars)
+    curve = cut(curve)
     split = split or str(points[0].config.universe.train_test_split_date)
     return Backtest(records, curve, report(records, curve, benchmark, risk, split))
 
@@ -123,6 +127,7 @@ def report(records: DataFrame, curve: DataFrame, benchmark: DataFrame | None, ri
     stats = M.risk(model, keys, risk.risk_free_rate)
     for unit in ("day", "week", "month"):
         stats = stats.join(M.outcomes(model, unit, keys), keys, "left")
+    stats = cut(stats)
     start = F.broadcast(curve.agg(F.min("ts").alias("_start")))
     inside = lambda rows, at: rows.join(F.broadcast(stats.select(*keys, "start", "end")), "combo_id").where(F.col(at).between(F.col("start"), F.col("end")))
     trades = inside(records.where("record = 'trade'").join(start).where("entry_ts >= _start").drop("_start"), "entry_ts")
@@ -143,6 +148,7 @@ def report(records: DataFrame, curve: DataFrame, benchmark: DataFrame | None, ri
         stats = stats.unionByName(base, allowMissingColumns=True)
     else:
         stats = stats.withColumn("benchmark_return", rate)
+    stats = cut(stats)
     if risk.simulate_profit_odds:
         paths = model.select(*keys, "ts", "equity")
         paths = paths if held is None else paths.unionByName(held.select(*keys, "ts", "equity"))

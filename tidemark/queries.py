@@ -22,6 +22,7 @@ from tidemark.plans.backtest import run as run_points
 from tidemark.plans.config import Config, GridPoint, with_value
 from tidemark.sources import universe
 from tidemark.sources.bars import build_bars, numbered, walk_bars
+from tidemark.sources.scratch import cut
 
 SPLIT = "2024-01-20 00:00:00"
 #: The exit rules, sizing and signals that the portfolio queries share.
@@ -191,7 +192,7 @@ def signalled(spark: SparkSession, d: str, ways=("long",)) -> DataFrame:
         o = G.with_crossover(candles.with_candlestick(o, w), w)
         # Closes beyond the mean of ten stand in for divergences, which are rare on a month of bars.
         mean = F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-9, 0))
-        o = o.withColumn(f"divergence_{w}", flag(F.col("close") < mean * 0.97 if w == "long" else F.col("close") > mean * 1.03))
+        o = o.withColumn(f"divergence_{w}", flag(F.col("close") < mean * 0.99 if w == "long" else F.col("close") > mean * 1.01))
     return o
 
 
@@ -242,7 +243,7 @@ def signals_both(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events_of(spark: SparkSession, d: str) -> DataFrame:
-    return S.ticker_events(signals_both(spark, d), ("long", "short"))
+    return cut(S.ticker_events(signals_both(spark, d), ("long", "short")))
 
 
 @query
@@ -259,7 +260,7 @@ def held_correlations(spark, d):
 def simulated(spark: SparkSession, d: str, reject: bool = True) -> DataFrame:
     events = events_of(spark, d)
     sizing = F.broadcast(spark.createDataFrame([(0, MAX_POSITIONS, reject, THRESHOLD)], "combo_id int, max_positions int, reject boolean, threshold double"))
-    return S.simulate(events, sizing, S.held_correlations(events, walk_bars(spark, d), LOOKBACK) if reject else None)
+    return cut(S.simulate(events, sizing, S.held_correlations(events, walk_bars(spark, d), LOOKBACK) if reject else None))
 
 
 def _trades(reject: bool) -> Query:
@@ -276,7 +277,7 @@ _found["correlation_gate"] = _trades(True)
 
 def curve_of(spark: SparkSession, d: str) -> DataFrame:
     combos = spark.createDataFrame([(0,)], "combo_id int")
-    return M.equity_curve(simulated(spark, d), walk_bars(spark, d), combos, WARMUP)
+    return cut(M.equity_curve(simulated(spark, d), walk_bars(spark, d), combos, WARMUP))
 
 
 @query

@@ -89,7 +89,7 @@ def store_roundtrip(spark, d):
     store = BarStore(spark, scratch_folder(spark, "store"), "1h")
     store.write(walk_bars(spark, d))
     back = store.read()
-    return back.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), r(F.sum("close"), 4).alias("close_sum"))
+    return back.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), r(F.sum("close"), 6).alias("close_sum"))
 
 
 @query
@@ -179,7 +179,7 @@ def sr_levels(spark, d):
     return rowed(
         G.with_levels(bars_of(spark, d), 8, 8),
         F.size(lv).cast("long").alias("n_levels"),
-        r(F.aggregate(lv, F.lit(0.0), lambda a, x: a + x), 4).alias("sum_levels"),
+        r(F.aggregate(lv, F.lit(0.0), lambda a, x: a + x), 6).alias("sum_levels"),
         r(R.nearest_above(lv, F.col("close"))).alias("above"),
         r(R.nearest_below(lv, F.col("close"))).alias("below"),
     )

@@ -6,12 +6,14 @@ from tidemark.llm import decontaminate as D
 
 def naive(doc, items):
     w = (doc or "").encode().lower().split()
-    out = {}
+    out, have = {}, set(w)
     for i, text in items:
         v = (text or "").encode().lower().split()
         if len(v) < 5 or i is None:
             continue
         n, need = (13, 11) if len(v) >= 13 else (len(v), len(v))
+        if sum(x in have for x in v) < need:
+            continue
         covered = set()
         for a in range(len(w) - n + 1):
             for b in range(len(v) - n + 1):

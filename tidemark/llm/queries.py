@@ -46,7 +46,7 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.blocks import deduplicate_words
 
-    return deduplicate_words(table(spark, sf_dir, "documents"), window=13)
+    return deduplicate_words(table(spark, sf_dir, "documents"), window=13).drop("spans")
 
 
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.suffixes import deduplicate_bytes
 
-    return deduplicate_bytes(table(spark, sf_dir, "documents"), window=50)
+    return deduplicate_bytes(table(spark, sf_dir, "documents"), window=50).drop("spans")
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm import oracles
+
+    return oracles.oracle_sql()

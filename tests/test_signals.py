@@ -43,24 +43,17 @@ def test_swings(spark):
     assert column(G.with_swing(near, "v", 1, 1, True, "s"), "s") == [None, None, None, 85.0, None]
 
 
-def test_levels_against_stacks(spark):
+def test_levels_against_rescans(spark):
     rng = random.Random(42)
     h = [float(rng.randrange(10, 40)) for _ in range(120)]
     lo = [x - rng.randrange(1, 9) for x in h]
     got = column(G.with_levels(frame(spark, high=h, low=lo), 2, 2), "support_resistance_levels")
-    highs, lows, want = [], [], []
+    swing = lambda x, t, f: 4 <= t + 2 and t >= 2 and t + 2 < 120 and all(f(x[t], x[j]) for j in (t - 2, t - 1, t + 1, t + 2))
+    want = []
     for t in range(120):
-        i = t - 2
-        if i >= 2:
-            if all(h[i] > h[j] for j in (i - 2, i - 1, i + 1, i + 2)):
-                while highs and highs[-1] <= h[i]:
-                    highs.pop()
-                highs.append(h[i])
-            if all(lo[i] < lo[j] for j in (i - 2, i - 1, i + 1, i + 2)):
-                while lows and lows[-1] >= lo[i]:
-                    lows.pop()
-                lows.append(lo[i])
-        want.append(sorted(highs + lows))
+        up = [i for i in range(t - 1) if swing(h, i, lambda a, b: a > b)]
+        down = [i for i in range(t - 1) if swing(lo, i, lambda a, b: a < b)]
+        want.append(sorted([h[i] for i in up if not any(j > i and h[j] >= h[i] for j in up)] + [lo[i] for i in down if not any(j > i and lo[j] <= lo[i] for j in down)]))
     assert got == want
 
 

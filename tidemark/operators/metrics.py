@@ -33,15 +33,30 @@ def as_of(times: DataFrame, rows: DataFrame, value: str, keys: list[str]) -> Dat
 def cash_curve(records: DataFrame, cal: DataFrame, combos: DataFrame) -> DataFrame:
     """combo_id, ts, cash: the last cash known at each time, 1.0 before the first event."""
     cash = records.where("record = 'cash'").groupBy("combo_id", "ts").agg(F.max_by("cash", "seq").alias("cash"))
-    times = combos.select("combo_id").distinct().join(F.broadcast(cal.select("ts")))
+    # Combinations are as many as the grid has points, so their side is the one to copy.
+    times = cal.select("ts").join(F.broadcast(combos.select("combo_id").distinct()))
     return as_of(times, cash, "cash", ["combo_id"]).withColumn("cash", F.coalesce("cash", F.lit(1.0)))
 
 
+def spread(rows: DataFrame, cal: DataFrame, begin: str, end: str) -> DataFrame:
+    """Each row once for every calendar time from ``begin`` up to, not at, ``end`` (null: for good).
+
+    Both ends are calendar times, so they become numbers by equality and the range is written out:
+    nothing is joined on inequality.
+    """
+    after = F.broadcast(cal.agg((F.max("at") + 1).alias("_after")))
+    first = cal.select(F.col("ts").alias(begin), F.col("at").alias("_first"))
+    last = cal.select(F.col("ts").alias(end), F.col("at").alias("_last"))
+    out = rows.join(first, begin).join(last, end, "left").join(after).withColumn("_stop", F.coalesce("_last", "_after"))
+    out = out.where("_first < _stop").withColumn("at", F.explode(F.sequence(F.col("_first"), F.col("_stop") - 1)))
+    return out.drop("_first", "_last", "_after", "_stop").join(cal, "at")
+
+
 def position_values(records: DataFrame, bars: DataFrame, cal: DataFrame) -> DataFrame:
     """combo_id, ts, value: positions marked to the latest close from entry up to, not at, exit."""
     w = Window.partitionBy("combo_id", "symbol", "seq", "record").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     held = records.where("record in ('trade', 'open')").select("combo_id", "symbol", "seq", "record", "direction", "entry_ts", "exit_ts", "entry_price", "trade_size")
-    days = held.join(cal.select("ts"), (F.col("ts") >= F.col("entry_ts")) & (F.col("exit_ts").isNull() | (F.col("ts") < F.col("exit_ts"))))
+    days = spread(held, cal, "entry_ts", "exit_ts")
     priced = days.join(bars.select("symbol", "ts", F.struct("close").alias("_c")), ["symbol", "ts"], "left").withColumn("px", F.last("_c", ignorenulls=True).over(w)["close"])
     ratio = F.col("px") / F.col("entry_price")
     value = F.col("trade_size") * F.when(F.col("direction") == "long", ratio).otherwise(2 - ratio)

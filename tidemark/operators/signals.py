@@ -101,30 +101,37 @@ def with_crossover(bars: DataFrame, direction: str, threshold: float = 50.0, fle
     return bars.groupBy(*keys).applyInPandas(fold, schema)
 
 
-def level_lifetimes(bars: DataFrame, value: str, before: int, after: int, high: bool, keys: Sequence[str] = SYMBOL) -> DataFrame:
-    """level, born, dies (positions; null: never) of each confirmed swing.
-
-    A high stands until a later one is as high or higher, a low until one is as low or lower. Only
-    swings are looked at, so this is a join of a sparse table with itself, as a range per symbol.
-    """
-    swings = with_swing(bars, value, before, after, high, "level", keys).where("level is not null").select(*keys, "rn", "ts", "level")
-    own, later = swings.alias("a"), swings.alias("b")
-    beats = F.col("b.level") >= F.col("a.level") if high else F.col("b.level") <= F.col("a.level")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    joined = own.join(later, [*on, F.col("b.rn") > F.col("a.rn"), beats], "left")
-    return joined.groupBy(*[F.col(f"a.{k}") for k in keys], F.col("a.rn").alias("born"), F.col("a.level").alias("level")).agg(F.min("b.rn").alias("dies"))
-
-
 def with_levels(bars: DataFrame, before: int = 8, after: int = 8, at: Column | None = None, keys: Sequence[str] = SYMBOL) -> DataFrame:
     """support_resistance_levels: ascending prices of the standing highs and lows; empty if none.
 
+    A high stands until a later one is as high or higher, a low until one is as low or lower.
     ``at`` restricts the work to rows that will read the levels (buy bars do); others get none.
+    Only confirmed swings and asking rows reach the fold, which is linear in them.
     """
-    lives = level_lifetimes(bars, "high", before, after, True, keys).unionByName(level_lifetimes(bars, "low", before, after, False, keys))
-    asked = (bars if at is None else bars.where(at)).select(*keys, "rn").alias("q")
-    on = [F.col(f"q.{k}") == F.col(f"l.{k}") for k in keys]
-    standing = asked.join(lives.alias("l"), [*on, F.col("l.born") <= F.col("q.rn"), F.col("l.dies").isNull() | (F.col("l.dies") > F.col("q.rn"))])
-    found = standing.groupBy(*[F.col(f"q.{k}") for k in keys], F.col("q.rn").alias("rn")).agg(F.array_sort(F.collect_list("l.level")).alias("support_resistance_levels"))
+    marked = with_swing(with_swing(bars, "high", before, after, True, "_hi", keys), "low", before, after, False, "_lo", keys)
+    sparse = marked.withColumn("_ask", flag(F.lit(True) if at is None else at)).where("_ask or _hi is not null or _lo is not null").select(*keys, "rn", "_hi", "_lo", "_ask")
+    kinds = {f.name: f.dataType for f in bars.schema.fields}
+    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField("rn", T.IntegerType()), T.StructField("support_resistance_levels", T.ArrayType(T.DoubleType()))])
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        highs: list[float] = []
+        lows: list[float] = []
+        rows, levels = [], []
+        for rn, hi, lo, ask in group.sort_values("rn")[["rn", "_hi", "_lo", "_ask"]].itertuples(index=False):
+            if not pd.isna(hi):
+                while highs and highs[-1] <= hi:
+                    highs.pop()
+                highs.append(hi)
+            if not pd.isna(lo):
+                while lows and lows[-1] >= lo:
+                    lows.pop()
+                lows.append(lo)
+            if ask:
+                rows.append(rn)
+                levels.append(sorted(highs + lows))
+        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "rn": pd.Series(rows, dtype="int32"), "support_resistance_levels": pd.Series(levels, dtype=object)}, columns=[*keys, "rn", "support_resistance_levels"])
+
+    found = sparse.groupBy(*keys).applyInPandas(fold, schema)
     out = bars.drop("support_resistance_levels").join(found, [*keys, "rn"], "left")
     return out.withColumn("support_resistance_levels", F.coalesce("support_resistance_levels", F.array().cast("array<double>")))
 

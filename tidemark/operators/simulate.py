@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change
+from tidemark.operators.metrics import calendar, spread
 
 EVENTS = "combo_id int, symbol string, universe_rank int, rn int, ts timestamp_ntz, kind string, direction string, price double, seq int"
 RECORDS = (
@@ -74,21 +75,18 @@ def held_correlations(events: DataFrame, bars: DataFrame, lookback: int) -> Data
     symbols, up to the event's own; rows where either return is unknown are left out, and a pair
     with fewer than two rows or no variance has none. Only pairs that meet are computed.
     """
-    calendar = bars.select("ts").distinct().withColumn("at", F.row_number().over(Window.orderBy("ts")))
-    returns = bars.withColumn("ret", change(F.col("close"))).join(calendar, "ts").select("symbol", "at", "ret")
+    numbered = calendar(bars)
+    returns = bars.withColumn("ret", change(F.col("close"))).join(numbered, "ts").select("symbol", "at", "ret")
     buys = events.where("kind = 'buy'")
     later = events.where("kind = 'sell'").select("combo_id", "symbol", F.col("ts").alias("sold"))
     spans = buys.join(later, ["combo_id", "symbol"], "left").where(F.col("sold").isNull() | (F.col("sold") > F.col("ts")))
     spans = spans.groupBy("combo_id", "symbol", "ts").agg(F.min("sold").alias("until"))
     # A buy whose every sell is on its own bar, or earlier, stays open.
     spans = buys.select("combo_id", "symbol", "ts").join(spans, ["combo_id", "symbol", "ts"], "left")
-    b, h = buys.alias("b"), spans.alias("h")
-    met = b.join(
-        h,
-        (F.col("b.combo_id") == F.col("h.combo_id")) & (F.col("b.symbol") != F.col("h.symbol")) & (F.col("h.ts") <= F.col("b.ts")) & (F.col("h.until").isNull() | (F.col("h.until") > F.col("b.ts"))),
-    ).select("b.combo_id", "b.symbol", "b.ts", F.col("h.symbol").alias("other")).distinct()
-    pairs = met.select("symbol", "other", "ts").distinct().join(calendar, "ts")
-    steps = pairs.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - (lookback - 1)), F.col("at"))))
+    open_ = spread(spans.select("combo_id", F.col("symbol").alias("other"), F.col("ts").alias("bought"), F.col("until")), numbered, "bought", "until")
+    met = buys.select("combo_id", "symbol", "ts").join(open_.select("combo_id", "other", "ts"), ["combo_id", "ts"]).where("symbol <> other").distinct()
+    pairs = met.select("symbol", "other", "ts").distinct().join(numbered, "ts")
+    steps = pairs.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - (lookback - 1)), F.col("at"))))
     x = returns.select(F.col("symbol"), "at", F.col("ret").alias("x"))
     y = returns.select(F.col("symbol").alias("other"), "at", F.col("ret").alias("y"))
     both = steps.join(x, ["symbol", "at"]).join(y, ["other", "at"]).where("x is not null and y is not null")

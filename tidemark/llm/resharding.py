@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: Rows that one block holds on average; the driver sees one row for each block.
-BLOCK_ROWS = 1 << 20
+#: Rows that one block holds at most on average, and the least number of blocks for a large input;
+#: the driver sees one row for each block.
+BLOCK_ROWS, BLOCKS = 1 << 20, 512
 _INF = 1 << 62
 
 
@@ -79,7 +80,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, payload: tuple[str,
     empty table; equal texts needn't share a shard, as one text may hold over an eighth of all bytes.
 
     Rows fall into blocks by old shard, size class and a hash of the id. The driver sees block
-    sums only (a row for each BLOCK_ROWS rows, times old shards and the 40 size classes at most).
+    sums only (a row for each BLOCK_ROWS rows, and one for each old shard and size class at most).
     Within a block a window gives running bytes; a row goes where the middle of its bytes falls.
     """
     spark = docs.sparkSession
@@ -91,10 +92,12 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, payload: tuple[str,
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
         F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
     ).withColumn("size_class", (F.lit(40) - F.floor(F.log2("size"))).cast("int"))
-    groups = base.groupBy("old_shard", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
-    rows = sum(r["n"] for r in groups)
-    subs = max(16, -(-rows // BLOCK_ROWS))
-    base = base.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(subs)).cast("int"))
+    groups = base.groupBy("old_shard", "size_class").agg(F.count(F.lit(1)).alias("n")).collect()
+    target = max(1, min(BLOCK_ROWS, sum(r["n"] for r in groups) // BLOCKS))
+    parts = [(r["old_shard"], r["size_class"], -(-r["n"] // target)) for r in groups]
+    # A row for each old shard and size class, so this is small whatever the number of documents.
+    subs = F.broadcast(spark.createDataFrame(parts, "old_shard int, size_class int, parts int"))
+    base = base.join(subs, ["old_shard", "size_class"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
     block = ["old_shard", "size_class", "sub"]
     sums = sorted(map(tuple, base.groupBy(*block).agg(F.sum("size")).collect()))
     total = sum(r[3] for r in sums)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import quality as Q
 from tidemark.llm import suffixes as S
 from tidemark.llm.common import UnionFind
-from tidemark.llm.simhash import near_groups, one_of_each_group
+from tidemark.llm.components import connected_components
+from tidemark.llm.simhash import exact_links, near_groups, one_of_each_group
 from tidemark.llm.tokenizers_ import PIECES, vocabulary_path
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +103,49 @@ def test_recall_of_near_copies(spark):
     assert sum(linked) >= 0.95 * sum(pairs)
 
 
+def edits_of_one_template(n, edits, seed=1, words=200):
+    """Texts that lie around a similarity of 0.8 of each other."""
+    rng = random.Random(seed)
+    base = [f"t{rng.randrange(9000)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for p in rng.sample(range(words), rng.choice(edits)):
+            w[p] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "", "", 0))
+    return rows
+
+
+def groups_brute(rows, threshold=0.8):
+    u, own = UnionFind(), [sets(r[1]) for r in rows]
+    for k, x in enumerate(own):
+        for j, y in enumerate(own[:k]):
+            if (c := len(x & y)) >= threshold * (len(x) + len(y) - c):
+                u.union(rows[k][0], rows[j][0])
+    return {r[0]: u.find(r[0]) for r in rows}
+
+
+@pytest.mark.parametrize("edits", [(3, 4, 5, 6), (2, 5, 6, 7)])
+def test_false_candidates_replace_no_true_link(spark, edits):
+    rows = edits_of_one_template(400, edits)
+    want = groups_brute(rows)
+    assert 300 < len(set(want.values())) < 340
+    got = {r.id: r.kept_id for r in near_groups(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == want
+
+
+def test_exact_links_over_split_keys(spark):
+    rows = edits_of_one_template(120, (3, 4, 5), seed=2)
+    want = groups_brute(rows)
+    hashed = [(1, i, i, sorted({hash(x) for x in sets(t)})) for i, t, *_ in rows]
+    df = spark.createDataFrame(hashed, "key long, v long, own long, shingles array<long>")
+    for part in (1 << 20, 10_000):
+        links = exact_links(df, "key", 0.8, part)
+        found = {r.id: r.component for r in connected_components(links).collect()}
+        assert {i: found.get(i, i) for i in want} == want
+    assert exact_links(df.withColumn("own", F.lit(7).cast("long")), "key", 0.8).count() == 0
+
+
 def test_each_stage_keeps_columns_and_takes_empty_tables(spark, tmp_path):
     empty = spark.createDataFrame([], COLUMNS)
     for name, stage in C.STAGES:

@@ -116,15 +116,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 HOT_KEYS = 50_000
 
 
-def cells(df: DataFrame, key: list[str], spread: str, limit: int) -> DataFrame:
+def cells(df: DataFrame, key: list[str], spread: str, limit: int, weight: str | None = None) -> DataFrame:
     """Rows dealt to cells (i, j) of their key, each of which holds two parts of it at most.
 
     A key of up to ``limit`` rows is one cell, (0, 0). A larger one has its rows dealt by a hash of
     ``spread`` to parts of about ``limit`` rows, and each pair of parts meets in one cell, so every
     pair of rows meets and no task holds a hot key whole. Adds ``i, j, part``; sorted by them.
+    With a column ``weight`` the limit is one of its sum, not of rows.
     """
     spark = df.sparkSession
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(*key).agg(amount.alias("_n")).where(F.col("_n") > limit)
     hot = cut(counts.withColumn("_k", F.ceil(F.col("_n") / F.lit(limit)).cast("int")).drop("_n"))
     few = hot.limit(HOT_KEYS + 1).collect()
     if len(few) <= HOT_KEYS:

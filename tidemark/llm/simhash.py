@@ -232,6 +232,74 @@ def shingle_sets(rows: DataFrame, k: int, lower: bool = True) -> DataFrame:
     return rows.select("v", "text").mapInArrow(releasing(run), "v long, shingles array<long>")
 
 
+#: Shingles in a part of a group whose pairs are compared on their sets, and what a row counts besides.
+PART_SHINGLES, ROW_SHINGLES = 1 << 20, 256
+
+
+def _joined(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of different ``own`` labels, after which no two labels have a similar pair.
+
+    Only rows outside the most common label are compared with all others, and only until their
+    labels are one, so rows that are linked already cost nothing.
+    """
+    root = np.unique(own, return_inverse=True)[1]
+    if not len(root) or not root.any():
+        return []
+    hub, n = int(np.argmax(root == np.bincount(root).argmax())), len(ids)
+    sizes = np.array([len(x) for x in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    posting = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
+    many = np.bincount(token)
+    first, ends = np.cumsum(many) - many, np.cumsum(sizes)
+    out = []
+    for x in range(n):
+        if root[x] == root[hub]:
+            continue
+        t = token[ends[x] - sizes[x] : ends[x]]
+        spread = np.repeat(first[t] - np.cumsum(many[t]) + many[t], many[t])
+        common = np.bincount(posting[spread + np.arange(len(spread))], minlength=n)
+        hits = np.nonzero((common >= similarity * (sizes + sizes[x] - common)) & (root != root[x]))[0]
+        for y in hits[np.unique(root[hits], return_index=True)[1]]:
+            out.append((int(ids[x]), int(ids[y])))
+            root[root == root[y]] = root[x]
+    return out
+
+
+def exact_links(rows: DataFrame, key: str, similarity: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """``a, b``: links that join all similar pairs of each key, verified on the sets before they join.
+
+    ``rows`` has the key, ``v, own, shingles``; rows of equal ``own`` are linked already. A key with
+    more than ``part_shingles`` shingles is split into cells of two such parts.
+    """
+    weighed = rows.withColumn("_w", F.size("shingles") + ROW_SHINGLES)
+    dealt = cells(weighed, [key], "v", part_shingles, "_w").select(key, "i", "j", "v", "own", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def close() -> pa.RecordBatch:
+            ids, own, sets = zip(*held, strict=True) if held else ((), (), ())
+            held.clear()
+            found = _joined(np.array(ids, dtype=np.int64), np.array(own, dtype=np.int64), list(sets), similarity)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            *keys, ids, own = (batch.column(x).to_pylist() for x in range(5))
+            for at, now in enumerate(zip(*keys, strict=True)):
+                if cell != now:
+                    if len(held) > 1:
+                        yield close()
+                    held.clear()
+                    cell = now
+                # A copy: a view would keep the whole batch.
+                held.append((ids[at], own[at], batch.column(5)[at].values.to_numpy(zero_copy_only=False).copy()))
+        if len(held) > 1:
+            yield close()
+
+    return dealt.mapInArrow(releasing(run), "a long, b long")
+
+
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Groups of near copies: ``h1, h2`` (a text's identity), ``id`` and ``kept_id``.
 
@@ -239,7 +307,10 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     link if the Jaccard similarity of their k-word shingle sets (A-Z lower-cased; a shorter text is
     one shingle) is ``similarity`` or more. Candidates come from SimHash fingerprints in
     BK-trees over shards of sampled bits, as the closest-first spanning forests of pairs within the
-    radius; each forest link is verified on the exact sets. Texts without words are one group.
+    radius; each forest link is verified on the exact sets. A forest connects what all candidates
+    do, so where one of its links is false, the rest of the true ones lie within the same candidate
+    component: there, all pairs that verified links don't connect are compared on their sets.
+    Texts without words are one group.
     """
     identity = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity)
@@ -267,7 +338,15 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     true = both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
-    groups = texts.join(connected_components(true).withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
+    tight = cut(connected_components(true))
+    labels = connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose"))
+    labels = labels.join(tight.withColumnRenamed("id", "v"), "v", "left").select("v", "loose", F.coalesce("component", "v").alias("own"))
+    labels = cut(labels)
+    mixed = labels.groupBy("loose").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("loose")
+    rows = cut(labels.join(mixed, "loose").join(sets, "v").select("loose", "v", "own", "shingles"))
+    more = exact_links(rows, "loose", similarity)
+    whole = tight.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+    groups = texts.join(connected_components(whole).withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
     groups = cut(groups.select("h1", "h2", "id", "g"))
     least = groups.groupBy("g").agg(F.min("id").alias("kept_id"))
     return groups.join(least, "g").select("h1", "h2", "id", "kept_id", "g")

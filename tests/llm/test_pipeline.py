@@ -134,6 +134,24 @@ def test_false_candidates_replace_no_true_link(spark, edits):
     assert got == want
 
 
+def copies_that_repeat_a_line(pairs, body=200, line=12, seed=4):
+    """Texts with a line once, and the same with it 5, 10 or 30 times more; next to equal sets."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(pairs):
+        own = " ".join(f"b{rng.randrange(10**6)}" for _ in range(body))
+        again = " ".join(f"l{rng.randrange(10**6)}" for _ in range(line))
+        rows += [(2 * g, f"{own} {again} {again}", "", "", 0), (2 * g + 1, f"{own} {again} {' '.join([again] * rng.choice([5, 10, 30]))}", "", "", 0)]
+    return rows
+
+
+def test_copies_that_differ_in_how_often_a_line_repeats(spark):
+    rows = copies_that_repeat_a_line(60)
+    assert all(sets(a[1]) == sets(b[1]) for a, b in zip(rows[::2], rows[1::2], strict=True))
+    got = {r.id: r.kept_id for r in near_groups(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
 def test_exact_links_over_split_keys(spark):
     rows = edits_of_one_template(120, (3, 4, 5), seed=2)
     want = groups_brute(rows)

@@ -26,12 +26,14 @@ def shingles(words: list[bytes], k: int) -> list[bytes]:
     return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
 
 
-def fingerprint(words: list[bytes], k: int, lanes: int = 1) -> tuple[int, ...]:
+def fingerprint(words: list[bytes], k: int, lanes: int = 1, distinct: bool = False) -> tuple[int, ...]:
     """``lanes`` unsigned 64-bit words; a bit is 1 if set in over half of the shingle hashes.
 
-    One lane is of XXH64 with seed 42; an even number of lanes is of 128-bit hashes. No words: zero.
+    Shingles count as often as they occur, or once each if ``distinct``. One lane is of XXH64 with seed 42; an even number of lanes is of 128-bit hashes. No words: zero.
     """
     runs = shingles(words, k)
+    if distinct:
+        runs = list(dict.fromkeys(runs))
     if not runs:
         return (0,) * lanes
     set_bits = np.zeros(64 * lanes, dtype=np.int64)
@@ -305,7 +307,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
 
     ``id`` is the smallest doc_id with the text, ``kept_id`` the smallest one of its group. Texts
     link if the Jaccard similarity of their k-word shingle sets (A-Z lower-cased; a shorter text is
-    one shingle) is ``similarity`` or more. Candidates come from SimHash fingerprints in
+    one shingle) is ``similarity`` or more. Candidates come from SimHash fingerprints of these sets in
     BK-trees over shards of sampled bits, as the closest-first spanning forests of pairs within the
     radius; each forest link is verified on the exact sets. A forest connects what all candidates
     do, so where one of its links is false, the rest of the true ones lie within the same candidate
@@ -318,7 +320,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(words_of(t.as_py(), True), k, LANES) for t in batch.column(1)]
+            prints = [fingerprint(words_of(t.as_py(), True), k, LANES, distinct=True) for t in batch.column(1)]
             parts = [pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64), pa.int64()) for i in range(LANES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *parts], ["doc_id", "h1", "h2", *lanes])
 

@@ -152,6 +152,22 @@ def test_copies_that_differ_in_how_often_a_line_repeats(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def short_copies(pairs, words, more, seed=6):
+    """Texts of so many words, and the same with some words more at the end."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(pairs):
+        own = [f"s{rng.randrange(10**6)}" for _ in range(words + more)]
+        rows += [(2 * g, " ".join(own[:words]), "", "", 0), (2 * g + 1, " ".join(own), "", "", 0)]
+    return rows
+
+
+def test_short_texts_are_joined_exactly(spark):
+    rows = short_copies(150, 8, 1)
+    got = {r.id: r.kept_id for r in near_groups(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(300)}
+
+
 def test_exact_links_over_split_keys(spark):
     rows = edits_of_one_template(120, (3, 4, 5), seed=2)
     want = groups_brute(rows)

@@ -216,6 +216,8 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
 #: similarity of 0.8 a pair differs in 15 of 100 bits on average, give or take 2, so that 64 samples
 #: of 16 bits find it with a chance of 0.98 or so.
 LANES, TREE_LANES, TABLES, SAMPLE, RADIUS = 4, 2, 64, 16, 40
+#: Texts of at most so many distinct shingles, whose fingerprints vary more, are joined exactly.
+SHORT = 64
 
 
 def shingle_sets(rows: DataFrame, k: int, lower: bool = True) -> DataFrame:
@@ -302,6 +304,18 @@ def exact_links(rows: DataFrame, key: str, similarity: float, part_shingles: int
     return dealt.mapInArrow(releasing(run), "a long, b long")
 
 
+def short_links(sets: DataFrame, similarity: float, most: int = SHORT) -> DataFrame:
+    """``a, b``: links that join all similar pairs of ``sets(v, shingles)`` of ``most`` shingles or fewer.
+
+    Two similar sets, in one order of all shingles, share one of the first n - ceil(similarity * n)
+    + 1 of each; texts meet by these.
+    """
+    n = F.size("shingles")
+    first = F.slice(F.array_sort("shingles"), F.lit(1), n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1)
+    keyed = sets.where((n > 0) & (n <= most)).select(F.explode(first).alias("key"), "v", F.col("v").alias("own"), "shingles")
+    return exact_links(keyed, "key", similarity)
+
+
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Groups of near copies: ``h1, h2`` (a text's identity), ``id`` and ``kept_id``.
 
@@ -312,7 +326,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     radius; each forest link is verified on the exact sets. A forest connects what all candidates
     do, so where one of its links is false, the rest of the true ones lie within the same candidate
     component: there, all pairs that verified links don't connect are compared on their sets.
-    Texts without words are one group.
+    Texts of few shingles are joined exactly besides. Texts without words are one group.
     """
     identity = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity)
@@ -320,16 +334,18 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(words_of(t.as_py(), True), k, LANES, distinct=True) for t in batch.column(1)]
+            words = [words_of(t.as_py(), True) for t in batch.column(1)]
+            prints = [fingerprint(w, k, LANES, distinct=True) for w in words]
+            short = pa.array([0 < len(w) and len(set(shingles(w, k))) <= SHORT for w in words], pa.bool_())
             parts = [pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64), pa.int64()) for i in range(LANES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *parts], ["doc_id", "h1", "h2", *lanes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], short, *parts], ["doc_id", "h1", "h2", "short", *lanes])
 
-    prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in lanes))
-    texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in lanes])
+    prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, short boolean, " + ", ".join(f"{x} long" for x in lanes))
+    texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in ("short", *lanes)])
     texts = cut(texts.withColumn("v", F.monotonically_increasing_id()))
     near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(TABLES, SAMPLE, 64 * LANES), LANES, TREE_LANES)
     near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    needed = near.select(F.explode(F.array("a", "b")).alias("v")).unionByName(texts.where("short").select("v")).distinct()
     wanted = texts.join(needed, "v", "left_semi").select("v", "id", "h1", "h2")
     # One row for each text: the one that gave the id. Repeated rows of it have equal sets.
     rows = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
@@ -340,7 +356,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     true = both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
-    tight = cut(connected_components(true))
+    tight = cut(connected_components(true.unionByName(short_links(sets, similarity))))
     labels = connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose"))
     labels = labels.join(tight.withColumnRenamed("id", "v"), "v", "left").select("v", "loose", F.coalesce("component", "v").alias("own"))
     labels = cut(labels)

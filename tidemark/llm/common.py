@@ -136,3 +136,26 @@ def cells(df: DataFrame, key: list[str], spread: str, limit: int, weight: str |
     dealt = parted.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "_o"), "j": F.greatest("part", "_o")}).drop("_k", "_o")
     return dealt.repartition(shuffle_partitions(spark), *key, "i", "j").sortWithinPartitions(*key, "i", "j", "part")
+
+
+def cell_tables(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key, rows) of each run of rows that agree in the first ``keys`` columns, which are integers."""
+    held: list[pa.RecordBatch] = []
+    now: tuple[int, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.nonzero(change)[0].tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:], strict=False):
+            own = tuple(int(c[a]) for c in columns)
+            if own != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)

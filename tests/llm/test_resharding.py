@@ -1,6 +1,6 @@
 import random
 import zlib
-from itertools import product
+from itertools import permutations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +49,60 @@ def test_placement(spark):
     sizes = [sum(r["size"] for r in own) for own in by.values()]
     assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 8
     assert all(r.moved == (r.old_shard != r.shard) for r in got)
+    where: dict = {}
+    for r in got:
+        where.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+    assert max(map(len, where.values())) == 1
+
+
+def test_groups_stay_whole_unless_none_fits(spark):
+    rng = random.Random(1)
+    rows = [(i, f"t{i} " + "x" * rng.randrange(90), i % 3) for i in range(3000)]
+    rows += [(10_000 + i, "copy " * 4, i % 2) for i in range(3000)] + [(20_000 + i, "large " * 40, 5) for i in range(60)]
+    rows += [(9, "same row", 1)] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    got = R.reshard(df, F.col("old"), 4, payload=("text",)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((i, t) for i, t, _ in rows)
+    where, bytes_ = {}, {}
+    for r in got:
+        where.setdefault(r.text, set()).add(r.shard)
+        bytes_[r.shard] = bytes_.get(r.shard, 0) + r["size"]
+    fits = {t: sum(len(x) + 1 for _, x, _ in rows if x == t) <= sum(bytes_.values()) // 4 for t in ("copy " * 4, "large " * 40, "same row")}
+    assert all(len(s) == 1 for t, s in where.items() if fits.get(t, True)) and max(map(len, where.values())) <= 4
+    assert max(bytes_.values()) - min(bytes_.values()) <= 0.01 * sum(bytes_.values()) / 4
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_fewest_bytes_move(spark):
+    """Units of one byte each: the flow's optimum is reached, against all counts that could move."""
+    for held in ((7, 1, 1), (4, 4, 1, 3), (0, 9, 2), (5, 5, 5)):
+        rows = [(k * 100 + i, chr(200 + 20 * k + i), k) for k, n in enumerate(held) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, old int")
+        got = R.reshard(df, F.col("old"), 3).collect()
+        n = len(rows)
+        shares = [n // 3 + (j < n % 3) for j in range(3)]
+        best = min(sum(max(0, h - (p[k] if k < 3 else 0)) for k, h in enumerate(held)) for p in set(permutations(shares)))
+        assert sum(r.moved for r in got) <= best + 2
+
+
+def test_query_reads_what_was_rewritten(spark):
+    from tidemark.llm.queries import op10_resharding
+
+    d = "/root/testdata/sf0.001"
+    got = op10_resharding(spark, d).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    where, bytes_, slots = {}, {}, {}
+    for r in got:
+        raw = (docs[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        where.setdefault(raw, set()).add(r.shard)
+        bytes_[r.shard] = bytes_.get(r.shard, 0) + r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(bytes_) == list(range(8)) and max(map(len, where.values())) == 1
+    assert max(bytes_.values()) - min(bytes_.values()) <= 0.05 * sum(bytes_.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def test_empty(spark):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import checkpoint_dir, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +70,12 @@ def op9_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From six shards by source, one of them large, to eight of near-equal bytes."""
-    from tidemark.llm.resharding import reshard
+    """From six shards by source, one of them large, to eight of near-equal bytes, as files."""
+    from tidemark.llm.resharding import reshard, rewritten
 
     old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(6))
     placed = reshard(table(spark, sf_dir, "documents"), old, 8)
+    placed = rewritten(placed, f"{checkpoint_dir(spark)}/reshard-{uuid.uuid4().hex}")
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 

@@ -7,11 +7,13 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shuffle_partitions
 
 #: Rows that one block holds at most on average, and the least number of blocks for a large input;
 #: the driver sees one row for each block.
 BLOCK_ROWS, BLOCKS = 1 << 20, 512
+#: Rows of a rewritten file.
+FILE_ROWS = 1 << 16
 _INF = 1 << 62
 
 
@@ -70,41 +72,83 @@ def _ranges(flow: dict[tuple[int, int], int]) -> dict[int, list[tuple[int, int]]
     return out
 
 
+#: Groups of equal texts that may be placed by the driver one by one: those over a thousandth of a
+#: shard's bytes or rows, which are two thousand for each shard at most.
+LARGE = 1000
+
+
+def _place_large(large: list[tuple], capacity: dict[int, int]) -> tuple[dict[tuple, int], list[tuple]]:
+    """Shards of (key, bytes, home) groups, largest first: home if it has room, else where most is.
+
+    Takes their bytes off ``capacity``. Groups that no shard has room for come back as the second.
+    """
+    placed, split = {}, []
+    for key, size, home in sorted(large, key=lambda g: (-g[1], g[0])):
+        roomiest = max(capacity, key=lambda j: (capacity[j], -j))
+        at = home if capacity.get(home, -1) >= size else roomiest
+        if capacity[at] >= size:
+            placed[key] = at
+            capacity[at] -= size
+        else:
+            split.append(key)
+    return placed, split
+
+
 def reshard(docs: DataFrame, old_shard: Column, shards: int, payload: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """Place every row in one of ``shards`` new shards of near-equal bytes.
+    """Place every row in one of ``shards`` new shards of near-equal bytes, equal texts together.
 
     ``old_shard`` gives the shard (0 or more) that holds a row now; null counts as shard 0.
     Returns ``doc_id, size, text_crc32, old_shard, shard, slot, moved`` and the payload columns.
     ``size`` is the UTF-8 bytes of the text (null: none) plus one. Slots of a shard run from 0
-    without gaps. Repeated rows and equal doc_ids are placed one by one; an empty table gives an
-    empty table; equal texts needn't share a shard, as one text may hold over an eighth of all bytes.
-
-    Rows fall into blocks by old shard, size class and a hash of the id. The driver sees block
-    sums only (a row for each BLOCK_ROWS rows, and one for each old shard and size class at most).
-    Within a block a window gives running bytes; a row goes where the middle of its bytes falls.
+    without gaps. Rows of equal texts (null is the empty text) go to one shard, unless no shard has
+    room for the group: then its rows are placed one by one. Shards differ by the bytes of a group
+    of a thousandth of a shard at most. Repeated rows and equal doc_ids are rows like any other; an
+    empty table gives an empty table.
+
+    A group counts for the old shard that holds most of its rows. The driver sees large groups (a
+    bounded number, see LARGE) and sums of blocks (old shard, size class, hash of the text or, in a
+    group that is split, of the row); the flow gives the bytes that go from each old shard to each
+    new one, and within a block a window of running bytes tells where a unit's middle falls.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(
         "doc_id",
         *payload,
-        size.alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
+        (F.octet_length(whole).cast("long") + 1).alias("size"),
+        F.crc32(whole).alias("text_crc32"),
         F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
-    ).withColumn("size_class", (F.lit(40) - F.floor(F.log2("size"))).cast("int"))
-    groups = base.groupBy("old_shard", "size_class").agg(F.count(F.lit(1)).alias("n")).collect()
-    target = max(1, min(BLOCK_ROWS, sum(r["n"] for r in groups) // BLOCKS))
-    parts = [(r["old_shard"], r["size_class"], -(-r["n"] // target)) for r in groups]
+        F.xxhash64(whole).alias("h1"),
+        F.xxhash64(F.lit(1), whole).alias("h2"),
+    )
+    base = cut(base.withColumn("row", F.monotonically_increasing_id()))
+    key = ["h1", "h2"]
+    held = base.groupBy(*key, "old_shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    home = F.max_by("old_shard", F.struct("n", -F.col("old_shard"))).alias("old_shard")
+    groups = cut(held.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), home))
+    rows, total = (int(x or 0) for x in groups.agg(F.sum("n"), F.sum("bytes")).first())
+    capacity = {j: total // shards + (j < total % shards) for j in range(shards)}
+    over = (F.col("bytes") > total // (shards * LARGE)) | (F.col("n") > rows // (shards * LARGE))
+    # Each of these holds a part of all rows or bytes that has a fixed least size.
+    large = [((r["h1"], r["h2"]), r["bytes"], r["old_shard"]) for r in groups.where(over).collect()]
+    placed, split = _place_large(large, capacity)
+    named = F.broadcast(spark.createDataFrame([(*k, placed.get(k)) for k, _, _ in large], "h1 long, h2 long, at int"))
+    told = base.join(named.withColumn("large", F.lit(True)), key, "left")
+    single = told.where("large and at is null").drop("large", "at", "h1", "h2")
+    units = groups.where(~over).select(F.lit(False).alias("alone"), "h1", "h2", "bytes", "old_shard")
+    if split:
+        units = units.unionByName(single.select(F.lit(True).alias("alone"), F.col("row").alias("h1"), F.lit(0).cast("long").alias("h2"), F.col("size").alias("bytes"), "old_shard"))
+    units = units.withColumn("size_class", (F.lit(40) - F.floor(F.log2("bytes"))).cast("int"))
+    target = max(1, min(BLOCK_ROWS, rows // BLOCKS))
+    kinds = units.groupBy("old_shard", "size_class").agg(F.count(F.lit(1)).alias("n")).collect()
     # A row for each old shard and size class, so this is small whatever the number of documents.
-    subs = F.broadcast(spark.createDataFrame(parts, "old_shard int, size_class int, parts int"))
-    base = base.join(subs, ["old_shard", "size_class"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
+    subs = F.broadcast(spark.createDataFrame([(r["old_shard"], r["size_class"], -(-r["n"] // target)) for r in kinds], "old_shard int, size_class int, parts int"))
+    units = units.join(subs, ["old_shard", "size_class"]).withColumn("sub", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")).drop("parts")
     block = ["old_shard", "size_class", "sub"]
-    sums = sorted(map(tuple, base.groupBy(*block).agg(F.sum("size")).collect()))
-    total = sum(r[3] for r in sums)
+    sums = sorted(map(tuple, units.groupBy(*block).agg(F.sum("bytes")).collect()))
     supply: dict[int, int] = {}
     for o, _, _, s in sums:
         supply[o] = supply.get(o, 0) + s
-    capacity = {j: total // shards + (j < total % shards) for j in range(shards)}
     ranges = _ranges(min_cost_flow(supply, capacity))
     plan, at = [], dict.fromkeys(supply, 0)
     for o, c, u, s in sums:
@@ -113,23 +157,26 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, payload: tuple[str,
         cuts = [e - begin for e, _ in ends if e < at[o]]
         plan.append((o, c, u, cuts, [j for _, j in ends[: len(cuts) + 1]]))
     blocks = spark.createDataFrame(plan, "old_shard int, size_class int, sub int, cuts array<long>, targets array<int>")
-    order = Window.partitionBy(*block).orderBy(F.col("size").desc(), "doc_id", "text_crc32")
-    placed = (
-        base.withColumn("rn", F.row_number().over(order).cast("long"))
-        .withColumn("middle", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.floor(F.col("size") / 2))
-        .join(blocks, block)
-        .withColumn("shard", F.get("targets", F.size(F.filter("cuts", lambda c: c < F.col("middle")))))
-        .drop("cuts", "targets", "middle")
-    )
-    placed = cut(placed)
-    # A row at a block's end may lie past its last cut by rounding only, so targets are never missed.
-    counts = sorted((r["shard"], *(r[b] for b in block), r["n"], r["first"]) for r in placed.groupBy("shard", *block).agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first")).collect())
+    order = Window.partitionBy(*block).orderBy(F.col("bytes").desc(), "alone", "h1", "h2")
+    middle = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.floor(F.col("bytes") / 2)
+    assigned = units.withColumn("middle", middle).join(F.broadcast(blocks), block)
+    # A unit at a block's end may lie past its last cut by rounding only, so targets are never missed.
+    assigned = assigned.select("alone", "h1", "h2", F.get("targets", F.size(F.filter("cuts", lambda c: c < F.col("middle")))).alias("shard"))
+    out = ["row", "doc_id", *payload, "size", "text_crc32", "old_shard", "shard"]
+    found = told.where("at is not null").withColumn("shard", F.col("at")).select(*out)
+    found = found.unionByName(told.where("large is null").join(assigned.where("not alone").drop("alone"), key).select(*out))
+    if split:
+        found = found.unionByName(single.join(assigned.where("alone").select(F.col("h1").alias("row"), "shard"), "row").select(*out))
+    # Numbers of rows are distinct, so blocks of a shard by their hash are even, whatever repeats.
+    numbering = Window.partitionBy("shard", "sub").orderBy("doc_id", "row")
+    found = found.withColumn("sub", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-rows // target)))).cast("int"))
+    found = cut(found.withColumn("rn", F.row_number().over(numbering).cast("long")))
     offsets, filled = [], {}
-    for s, o, c, u, n, first in counts:
-        offsets.append((s, o, c, u, filled.get(s, 0) - first))
+    for s, u, n in sorted(map(tuple, found.groupBy("shard", "sub").agg(F.max("rn")).collect())):
+        offsets.append((s, u, filled.get(s, 0) - 1))
         filled[s] = filled.get(s, 0) + n
-    shift = spark.createDataFrame(offsets, "shard int, old_shard int, size_class int, sub int, shift long")
-    return placed.join(shift, ["shard", *block]).select(
+    shift = F.broadcast(spark.createDataFrame(offsets, "shard int, sub int, shift long"))
+    return found.join(shift, ["shard", "sub"]).select(
         "doc_id", *payload, "size", "text_crc32", "old_shard", "shard", (F.col("rn") + F.col("shift")).alias("slot"), (F.col("old_shard") != F.col("shard")).alias("moved")
     )
 
@@ -143,7 +190,7 @@ def write_affected(placed: DataFrame, path: str) -> list[int]:
     touched = sorted(r["s"] for r in moved.collect())
     affected = placed.where(F.col("shard").isin(touched))
     (
-        affected.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS))
+        affected.repartition(shuffle_partitions(placed.sparkSession), "shard", F.floor(F.col("slot") / FILE_ROWS))
         .sortWithinPartitions("shard", "slot")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -151,3 +198,12 @@ def write_affected(placed: DataFrame, path: str) -> list[int]:
         .parquet(path)
     )
     return touched
+
+
+def rewritten(placed: DataFrame, path: str) -> DataFrame:
+    """The rows of all shards after the affected ones were written under ``path`` and read again."""
+    touched = write_affected(placed, path)
+    same = placed.where(~F.col("shard").isin(touched))
+    if not touched:
+        return same
+    return placed.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns).unionByName(same)

@@ -53,7 +53,8 @@ def test_round_trip(spark, tmp_path):
     for r in rows:
         ids = np.frombuffer(r.ids, dtype="<u2")
         assert len(ids) == 256 and r.cu_seqlens[-1] == r.n_ids and (ids[r.n_ids :] == P.END_ID).all()
-        where = P.position_ids(r.cu_seqlens, 256)
+        where = np.frombuffer(r.positions, dtype="<u2")
+        assert len(where) == 256 and (where == P.position_ids(r.cu_seqlens, 256)).all()
         for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             assert where[a:b].tolist() == list(range(b - a))
             found.setdefault(d, []).append((s, ids[a:b].tolist()))
@@ -61,3 +62,11 @@ def test_round_trip(spark, tmp_path):
         assert sum((p for _, p in sorted(found[i])), []) == [*own.encode_ordinary(t or ""), P.END_ID]
     assert sum(r.n_ids for r in rows) > 0.97 * 256 * len(rows)
     assert P.pack_documents(df.limit(0)).collect() == []
+
+
+def test_small_partitions_leave_full_rows(spark):
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = P.pack_documents(df.repartition(100), row_ids=512).collect()
+    assert sum(r.n_ids for r in rows) > 0.97 * 512 * len(rows)
+    assert sorted({d for r in rows for d in r.doc_ids}) == list(range(len(texts)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import releasing
+from tidemark.llm.common import cut, releasing
 from tidemark.llm.tokenizers_ import BYTE_BPE_RANKS, rank_encoding, vocabulary_path
 
 #: Ids in one row, and the id that ends every document (free in the vocabulary).
@@ -98,16 +98,15 @@ def best_fit_decreasing(lengths: np.ndarray, room: int) -> list[list[int]]:
     return rows
 
 
-def _packed(held: list[tuple[int | None, np.ndarray]], room: int) -> pa.RecordBatch:
-    doc, start, length, parts = [], [], [], []
-    for i, ids in held:
-        for at in range(0, len(ids), room):
-            part = ids[at : at + room]
-            doc.append(i)
-            start.append(at)
-            length.append(len(part))
-            parts.append(part)
-    rows = best_fit_decreasing(np.array(length), room)
+#: Rows with fewer ids than this share of a row are packed once more, so many segments at a time.
+FULL, TAIL_SEGMENTS = 0.98, 1 << 16
+_SCHEMA = "ids binary, n_ids int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+
+
+def _packed(doc: list[int | None], start: list[int], parts: list[np.ndarray], room: int) -> pa.RecordBatch:
+    """Segments, which are no longer than a row, in rows."""
+    length = [len(p) for p in parts]
+    rows = best_fit_decreasing(np.array(length, dtype=np.int64), room)
     matrix = np.full((len(rows), room), END_ID, dtype="<u2")
     cumulative = []
     for r, items in enumerate(rows):
@@ -117,11 +116,9 @@ def _packed(held: list[tuple[int | None, np.ndarray]], room: int) -> pa.RecordBa
             at += length[k]
             ends.append(at)
         cumulative.append(ends)
-    flat = pa.py_buffer(matrix.tobytes())
-    offsets = pa.py_buffer(np.arange(0, (len(rows) + 1) * room * 2, room * 2, dtype=np.int32).tobytes())
     return pa.RecordBatch.from_arrays(
         [
-            pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, flat]),
+            _binary(matrix),
             pa.array([e[-1] for e in cumulative], pa.int32()),
             pa.array(cumulative, pa.list_(pa.int32())),
             pa.array([[doc[k] for k in items] for items in rows], pa.list_(pa.int64())),
@@ -131,37 +128,76 @@ def _packed(held: list[tuple[int | None, np.ndarray]], room: int) -> pa.RecordBa
     )
 
 
+def _binary(matrix: np.ndarray) -> pa.Array:
+    """One binary cell for each row of 16-bit values."""
+    width = matrix.shape[1] * 2
+    offsets = pa.py_buffer(np.arange(0, (len(matrix) + 1) * width, width, dtype=np.int32).tobytes()[: 4 * (len(matrix) + 1)])
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, offsets, pa.py_buffer(np.ascontiguousarray(matrix, dtype="<u2").tobytes())])
+
+
 def pack_documents(docs: DataFrame, row_ids: int = ROW_IDS, buffer_ids: int = BUFFER_IDS, folder: str | None = None) -> DataFrame:
     """Rows of ``row_ids`` token ids that hold every document whole, each ended by END_ID.
 
     Returns ``ids`` (little-endian 16-bit matrix row, padded with END_ID), ``n_ids`` (ids before the
-    padding), ``cu_seqlens`` (cumulative segment lengths, from 0), ``doc_ids`` and ``starts`` (for
-    each segment its document and the place of its first id in it). Positions restart at 0 at every
-    segment: see ``position_ids``. A document of more ids than a row is cut into full rows and a
-    rest, so its segments by start give all of its ids. A null or empty text is END_ID alone;
-    repeated rows and equal doc_ids are packed one by one; an empty table gives an empty one.
-
-    Each task packs what it reads, BUFFER_IDS ids at a time: no shuffle, so no key can be hot, and
-    memory doesn't grow with the input. The rows of a buffer that stay partly empty are about one
-    in thousands.
+    padding), ``cu_seqlens`` (cumulative segment lengths, from 0), ``positions`` (little-endian
+    16-bit, from 0 in every segment and in the padding), ``doc_ids`` and ``starts`` (for each segment
+    its document and the place of its first id in it). A document of more ids than a row is cut into
+    full rows and a rest, so its segments by start give all of its ids. A null or empty text is
+    END_ID alone; repeated rows and equal doc_ids are packed one by one; an empty table gives an
+    empty one. Which documents share a row depends on how the table's files are split.
+
+    Each task packs what it reads, BUFFER_IDS ids at a time, without a shuffle, so no key can be hot
+    and memory doesn't grow with the input. Rows that a buffer leaves underfilled, a few for each,
+    are gathered in bounded groups and packed once more, however small the partitions are.
     """
+    if row_ids > 1 << 16:
+        raise ValueError("a row holds 65,536 ids at most: positions are 16-bit")
     path = vocabulary_path(BYTE_BPE_RANKS, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        doc, start, parts, n = [], [], [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py(), path)
-                held.append((i, ids))
+                for at in range(0, len(ids), row_ids):
+                    doc.append(i)
+                    start.append(at)
+                    parts.append(ids[at : at + row_ids])
                 n += len(ids)
                 if n >= buffer_ids:
-                    yield _packed(held, row_ids)
-                    held, n = [], 0
-        if held:
-            yield _packed(held, row_ids)
+                    yield _packed(doc, start, parts, row_ids)
+                    doc, start, parts, n = [], [], [], 0
+        if parts:
+            yield _packed(doc, start, parts, row_ids)
 
-    schema = "ids binary, n_ids int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), schema)
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, start, parts = [], [], []
+        for batch in batches:
+            for cell, ends, docs_, starts in zip(*(batch.column(c) for c in (0, 2, 3, 4)), strict=True):
+                ids = np.frombuffer(cell.as_py(), dtype="<u2")
+                e = ends.as_py()
+                doc += docs_.as_py()
+                start += starts.as_py()
+                parts += [ids[a:b] for a, b in zip(e, e[1:], strict=False)]
+            if len(parts) >= TAIL_SEGMENTS:
+                yield _packed(doc, start, parts, row_ids)
+                doc, start, parts = [], [], []
+        if parts:
+            yield _packed(doc, start, parts, row_ids)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([position_ids(c, row_ids) for c in batch.column(2).to_pylist()]) if batch.num_rows else np.zeros((0, row_ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _binary(at.astype("<u2")), *batch.columns[3:]], ["ids", "n_ids", "cu_seqlens", "positions", "doc_ids", "starts"])
+
+    first = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), _SCHEMA))
+    under = F.col("n_ids") < int(FULL * row_ids)
+    tails, segments = first.where(under).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()
+    rows = first
+    if tails > 1:
+        groups = max(1, -(-segments // TAIL_SEGMENTS), -(-tails * row_ids // buffer_ids))
+        rows = first.where(~under).unionByName(first.where(under).repartition(groups).mapInArrow(releasing(again), _SCHEMA))
+    return rows.mapInArrow(releasing(placed), _SCHEMA.replace("cu_seqlens array<int>,", "cu_seqlens array<int>, positions binary,"))
 
 
 def position_ids(cu_seqlens: list[int], row_ids: int = ROW_IDS) -> np.ndarray:

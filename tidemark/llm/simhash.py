@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -109,11 +110,20 @@ def fingerprints(docs: DataFrame, k: int, lanes: int = 1, lower: bool = True) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), schema)
 
 
-def block_shards(radius: int, bits: int = 64) -> list[list[int]]:
-    """Disjoint blocks of bits, one more than the radius: two fingerprints within it agree on one."""
+def block_shards(radius: int, bits: int = 64, rows: int = 0, shard_rows: int = TREE_NODES // 4) -> list[list[int]]:
+    """Choices of ``n - radius`` of n disjoint blocks of bits: fingerprints within the radius differ in
+    ``radius`` blocks at most, so they agree on one of the choices.
+
+    With n one more than the radius each block is a choice. More and narrower blocks make longer
+    keys: n grows until a shard of spread ``rows`` holds ``shard_rows`` on average, so that a shard's
+    work doesn't grow with the table. Nothing is lost with any n.
+    """
     n = radius + 1
+    while n < bits and (rows >> (bits * (n - radius) // n)) > shard_rows:
+        n += 1
     edges = [bits * i // n for i in range(n + 1)]
-    return [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+    blocks = [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen, []) for chosen in combinations(blocks, n - radius)]
 
 
 def sampled_shards(tables: int, sample: int, bits: int, seed: int = 7) -> list[list[int]]:
@@ -122,6 +132,13 @@ def sampled_shards(tables: int, sample: int, bits: int, seed: int = 7) -> list[l
     return [sorted(rng.sample(range(bits), sample)) for _ in range(tables)]
 
 
+def sample_plan(rows: int) -> tuple[int, int]:
+    """(tables, bits of a sample) for so many fingerprints: a longer sample keeps shards small, and
+    more tables keep the chance that a pair of similarity 0.8 shares one."""
+    more = max(0, (rows >> 22).bit_length())
+    return -int(-TABLES // 0.85**more), SAMPLE + more
+
+
 def _masks(shards: list[list[int]], lanes: int) -> list[list[int]]:
     """For each shard group the signed 64-bit mask of its bits in each lane."""
     out = []
@@ -203,7 +220,7 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
     prints = cut(fingerprints(docs, k))
     vertices = prints.groupBy("f0").agg(F.min("doc_id").alias("id"))
     vertices = cut(vertices)
-    edges = links(vertices, radius, block_shards(radius))
+    edges = links(vertices, radius, block_shards(radius, rows=vertices.count()))
     labels = connected_components(edges)
     named = vertices.join(labels, "id", "left").select("f0", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "f0").select(
@@ -304,19 +321,20 @@ def exact_links(rows: DataFrame, key: str, similarity: float, part_shingles: int
     return dealt.mapInArrow(releasing(run), "a long, b long")
 
 
-def short_links(sets: DataFrame, similarity: float, most: int = SHORT) -> DataFrame:
-    """``a, b``: links that join all similar pairs of ``sets(v, shingles)`` of ``most`` shingles or fewer.
+def short_links(sets: DataFrame, similarity: float, most: int | None = SHORT) -> DataFrame:
+    """``a, b``: links that join all similar pairs of ``sets(v, shingles)`` of ``most`` shingles or fewer
+    (None: of any number).
 
     Two similar sets, in one order of all shingles, share one of the first n - ceil(similarity * n)
     + 1 of each; texts meet by these.
     """
     n = F.size("shingles")
     first = F.slice(F.array_sort("shingles"), F.lit(1), n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1)
-    keyed = sets.where((n > 0) & (n <= most)).select(F.explode(first).alias("key"), "v", F.col("v").alias("own"), "shingles")
+    keyed = sets.where((n > 0) & (F.lit(most is None) | (n <= (most or 0)))).select(F.explode(first).alias("key"), "v", F.col("v").alias("own"), "shingles")
     return exact_links(keyed, "key", similarity)
 
 
-def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, short: int | None = SHORT) -> DataFrame:
     """Groups of near copies: ``h1, h2`` (a text's identity), ``id`` and ``kept_id``.
 
     ``id`` is the smallest doc_id with the text, ``kept_id`` the smallest one of its group. Texts
@@ -326,7 +344,8 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     radius; each forest link is verified on the exact sets. A forest connects what all candidates
     do, so where one of its links is false, the rest of the true ones lie within the same candidate
     component: there, all pairs that verified links don't connect are compared on their sets.
-    Texts of few shingles are joined exactly besides. Texts without words are one group.
+    Texts of ``short`` shingles or fewer are joined exactly besides; with None all texts are, at the
+    price of a row for each of a fifth of a text's shingles. Texts without words are one group.
     """
     identity = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity)
@@ -336,14 +355,14 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
         for batch in batches:
             words = [words_of(t.as_py(), True) for t in batch.column(1)]
             prints = [fingerprint(w, k, LANES, distinct=True) for w in words]
-            short = pa.array([0 < len(w) and len(set(shingles(w, k))) <= SHORT for w in words], pa.bool_())
+            few = pa.array([0 < len(w) and (short is None or len(set(shingles(w, k))) <= short) for w in words], pa.bool_())
             parts = [pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64), pa.int64()) for i in range(LANES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], short, *parts], ["doc_id", "h1", "h2", "short", *lanes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], few, *parts], ["doc_id", "h1", "h2", "short", *lanes])
 
     prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, short boolean, " + ", ".join(f"{x} long" for x in lanes))
     texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in ("short", *lanes)])
     texts = cut(texts.withColumn("v", F.monotonically_increasing_id()))
-    near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(TABLES, SAMPLE, 64 * LANES), LANES, TREE_LANES)
+    near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(*sample_plan(texts.count()), 64 * LANES), LANES, TREE_LANES)
     near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = near.select(F.explode(F.array("a", "b")).alias("v")).unionByName(texts.where("short").select("v")).distinct()
     wanted = texts.join(needed, "v", "left_semi").select("v", "id", "h1", "h2")
@@ -356,7 +375,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     true = both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
-    tight = cut(connected_components(true.unionByName(short_links(sets, similarity))))
+    tight = cut(connected_components(true.unionByName(short_links(sets, similarity, short))))
     labels = connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose"))
     labels = labels.join(tight.withColumnRenamed("id", "v"), "v", "left").select("v", "loose", F.coalesce("component", "v").alias("own"))
     labels = cut(labels)

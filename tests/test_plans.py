@@ -1,4 +1,5 @@
 import datetime as dt
+import sys
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,7 @@ def test_defaults_and_presets(tmp_path):
         ("strategies: {bad: {buy_signal_expiration_bars: [1]}}", "strategies.bad"),
         ("strategies: {empty: {buy_signal_order: []}}", "at least one signal"),
         ("position_sizing: {max_positions: 0}", "greater than 0"),
+        ("indicators: {rsi_length: 1}", "greater than 1"),
     ],
 )
 def test_bad_configurations(tmp_path, text, match):
@@ -65,6 +67,68 @@ def test_store_and_missing(spark, tmp_path):
     assert [r.symbol for r in store.missing(spark.createDataFrame([("A",), ("C",)], "symbol string")).collect()] == ["C"]
 
 
+def test_symbols_of_digits_stay_text(spark, tmp_path):
+    store = BarStore(spark, str(tmp_path / "s"), "1d")
+    t = dt.datetime(2024, 1, 1)
+    names = ["0700", "0005", "1e3", "2024-01-01"]
+    store.write(spark.createDataFrame([(s, t, 1.0, 1.0, 1.0, 1.0, 1.0) for s in names], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"))
+    assert store.tickers() == sorted(names) and store.exists("0700") and not store.exists("700")
+    assert sorted(r.symbol for r in store.read(["0700", "1e3"]).collect()) == ["0700", "1e3"]
+    assert store.missing(spark.createDataFrame([(s,) for s in names], "symbol string")).count() == 0
+
+
+def test_shared_folder_is_named_on_a_cluster(monkeypatch):
+    from tidemark.sources import scratch
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_root(Session())
+
+
+def test_each_point_has_its_own_risk_and_split(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.plans.backtest import run
+
+    base = {"universe": {"start_date": "2023-01-01", "train_test_split_date": "2024-01-04", "end_date": "2025-01-01"}, "strategy": {"buy_signal_order": [["stochastic_crossover"]], "buy_signal_expiration_bars": [], "sell_rule_groups": [[{"kind": "time", "max_bars_held": 20}]]}}
+    own = [{"simulate_profit_odds": False, "risk_free_rate": 0.0}, {"simulate_profit_odds": False, "risk_free_rate": 0.5}, {"simulate_profit_odds": False, "portfolio_warmup_bars": 60}, {"monte_carlo_paths": 20, "holding_period_hours": 30}]
+    points = [config.GridPoint({}, config.Config.model_validate(base | {"risk": r})) for r in own]
+    later = base["universe"] | {"train_test_split_date": "2024-01-06"}
+    points.append(config.GridPoint({}, config.Config.model_validate(base | {"universe": later, "risk": own[0]})))
+    bars = spark.createDataFrame(prices(["A", "B", "M"], 400)).withColumnRenamed("timestamp", "ts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    ranks = bars.select("symbol").distinct().withColumn("universe_rank", F.row_number().over(Window.orderBy("symbol")))
+    held = bars.where("symbol = 'M'").select("ts", "close")
+    together = {(r.combo_id, r.period): r for r in run(bars, ranks, points, held).report.collect()}
+    assert len({round(together[n, "overall"].sharpe_ratio, 9) for n in range(4)}) == 4
+    assert together[4, "train"].end > together[0, "train"].end and together[2, "overall"].bars == 400 - 60
+    assert {together[n, "overall"].benchmark_id for n in range(5)} == {-1, -2, -3, -4, -5}
+    figures = ("start", "end", "bars", "period_return", "sharpe_ratio", "trade_count", "benchmark_return", "benchmark_correlation", "profit_odds", "days_won")
+    for n, p in enumerate(points):
+        alone = {(r.series, r.period): r for r in run(bars, ranks, [p], held).report.collect()}
+        for period in ("overall", "train", "test"):
+            for series, k in (("model", n), ("benchmark", together[n, period].benchmark_id)):
+                for c in figures:
+                    x, y = together[k, period][c], alone[series, period][c]
+                    assert x == (pytest.approx(y) if isinstance(y, float) else y), (n, series, period, c)
+    assert together[3, "overall"].profit_odds is not None and together[0, "overall"].profit_odds is None
+
+
 def test_clean_and_bar_starts(spark):
     t = pd.DataFrame({"symbol": ["A", "A"], "timestamp": [dt.datetime(2024, 5, 17, 10, 47), dt.datetime(2024, 5, 17, 11)], "Open": [1.0, None], "Close": [float("nan"), None]})
     got = clean(spark.createDataFrame(t)).collect()
@@ -120,6 +184,10 @@ def test_command_line(spark, tmp_path):
     code = cli.main(["--config", str(write(tmp_path, text)), "--output", str(page)], spark, lambda t, s, e, n: prices(t), listing)
     body = page.read_text()
     assert code == 0 and body.count("data-combo=") == 2 and "train Sharpe" in body and "polyline" in body
+    assert "ff7f0e" in body  # the benchmark's line
+    with pytest.raises(RuntimeError, match="--downloader"):
+        cli.main(["--config", str(write(tmp_path, text))], spark, None, listing)
+    assert cli.plugged("tests.test_plans:prices" if "tests.test_plans" in sys.modules else f"{__name__}:prices") is not None
     with pytest.raises(RuntimeError, match="no bars"):
         cli.main(["--no-refresh", "--config", str(write(tmp_path, text.replace("/data", "/none")))], spark, None, listing)
 

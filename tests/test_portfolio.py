@@ -120,7 +120,17 @@ def test_bootstrap():
     assert np.allclose(up, 1.01**30)
     x = np.random.default_rng(1).normal(0, 0.01, 200)
     assert (M.bootstrap_paths(x, 50, 25, 10) == M.bootstrap_paths(x, 50, 25, 10)).all()
-    assert M.bootstrap_paths(np.array([0.5]), 5, 3, 10).tolist() == [1.5**3] * 5
+    assert np.allclose(M.bootstrap_paths(np.array([0.5]), 5, 3, 10), 1.5**3)
+    assert M.bootstrap_paths(np.zeros(0), 3, 5, 10).tolist() == [1.0] * 3
+    # Ruin and worse: zero stays zero, and signs multiply.
+    assert M.bootstrap_paths(np.array([-1.0, -1.0]), 4, 5, 2).tolist() == [0.0] * 4
+    assert np.allclose(M.bootstrap_paths(np.full(9, -1.5), 4, 5, 2), (-0.5) ** 5)
+    # Each path is a product of runs of consecutive returns.
+    y = np.array([0.1, 0.2, 0.4])
+    runs = {round(a * b, 9) for a in (1.1 * 1.2, 1.2 * 1.4) for b in (1.1, 1.2, 1.4)}
+    assert {round(g, 9) for g in M.bootstrap_paths(y, 500, 3, 2)} == runs
+    own = M.bootstrap_paths(x, 50, 25, 10, rng=np.random.default_rng(3))
+    assert (own == M.bootstrap_paths(x, 50, 25, 10, seed=3)).all() and (own != M.bootstrap_paths(x, 50, 25, 10)).any()
 
 
 def test_as_of_keeps_known_nulls(spark):

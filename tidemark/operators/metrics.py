@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import cut
+
 #: The seed of every bootstrap, so that combinations are comparable.
 SEED = 42
 _DAY_MICROS = 86_400_000_000
@@ -64,18 +68,23 @@ def position_values(records: DataFrame, bars: DataFrame, cal: DataFrame) -> Data
 
 
 def equity_curve(records: DataFrame, bars: DataFrame, combos: DataFrame, warmup: int = 0) -> DataFrame:
-    """combo_id, at, ts, cash, equity from the warm-up on, both scaled to an equity of 1.0 at its end."""
-    cal = calendar(bars)
-    start = cal.agg(F.least(F.lit(warmup), F.max("at")).alias("start"))
+    """combo_id, at, ts, cash, equity from the warm-up on, both scaled to an equity of 1.0 at its end.
+
+    ``combos`` has combo_id and may have a ``warmup`` of its own for each."""
+    cal = cut(calendar(bars))
+    combos = combos if "warmup" in combos.columns else combos.withColumn("warmup", F.lit(warmup))
+    end = cal.agg(F.max("at").alias("end"))
+    start = combos.select("combo_id", "warmup").distinct().join(F.broadcast(end)).select("combo_id", F.least("warmup", "end").alias("start"))
     cash = cash_curve(records, cal, combos)
-    curve = cash.join(position_values(records, bars, cal), ["combo_id", "ts"], "left").join(cal, "ts").join(F.broadcast(start)).where("at >= start")
+    curve = cash.join(position_values(records, bars, cal), ["combo_id", "ts"], "left").join(cal, "ts").join(F.broadcast(start), "combo_id").where("at >= start")
     curve = curve.withColumn("equity", F.col("cash") + F.coalesce("value", F.lit(0.0)))
     base = F.first("equity").over(Window.partitionBy("combo_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     return curve.withColumn("_b", base).select("combo_id", "at", "ts", (F.col("cash") / F.col("_b")).alias("cash"), (F.col("equity") / F.col("_b")).alias("equity"))
 
 
-def periods(curve: DataFrame, split: str | None) -> DataFrame:
-    """Each row once for every period it belongs to: overall, train and test (the split is in both)."""
+def periods(curve: DataFrame, split: str | Column | None) -> DataFrame:
+    """Each row once for every period it belongs to: overall, train and test (the split, a time or a
+    column of times, is in both)."""
     if split is None:
         return curve.withColumn("period", F.lit("overall"))
     at = F.lit(split).cast("timestamp_ntz")
@@ -97,15 +106,18 @@ def elapsed_years(first: Column, last: Column) -> Column:
     return F.floor(micros / _DAY_MICROS) / 365.25
 
 
-def risk(curve: DataFrame, keys: list[str], risk_free: float) -> DataFrame:
+def risk(curve: DataFrame, keys: list[str], risk_free: float | str) -> DataFrame:
     """Return, annualised return and deviation, and Sharpe ratio of each curve.
 
+    ``risk_free`` is a yearly rate, or the name of a column that holds one for each curve.
+
     A curve whose period is "overall" starts from 1.0 and fails if it ever is 0 or less; any other
     one has nulls where a figure isn't defined, and no row if it has one bar or starts at 0 or less.
     """
     step = curve.withColumn("r", F.try_divide("equity", F.lag("equity").over(Window.partitionBy(*keys).orderBy("ts"))) - 1)
     a = step.groupBy(*keys).agg(
-        F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("bars"), F.min_by("equity", "ts").alias("first"), F.max_by("equity", "ts").alias("last"), F.min("equity").alias("least"), F.stddev_samp("r").alias("sd")
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("bars"), F.min_by("equity", "ts").alias("first"), F.max_by("equity", "ts").alias("last"), F.min("equity").alias("least"), F.stddev_samp("r").alias("sd"),
+        (F.first(risk_free) if isinstance(risk_free, str) else F.lit(risk_free)).alias("_rate"),
     )
     whole = F.col("period") == "overall" if "period" in keys else F.lit(True)
     broken = whole & (F.col("least") <= 0)
@@ -122,7 +134,7 @@ def risk(curve: DataFrame, keys: list[str], risk_free: float) -> DataFrame:
     )
     vol = F.col("sd") * F.sqrt("bars_per_year")
     a = a.withColumn("volatility", F.when(some & (vol > 0), vol))
-    a = a.withColumn("sharpe_ratio", F.try_divide(F.col("annualized_return") - F.lit(risk_free), F.col("volatility")))
+    a = a.withColumn("sharpe_ratio", F.try_divide(F.col("annualized_return") - F.col("_rate"), F.col("volatility")))
     return a.select(*keys, "start", "end", "bars", "period_return", "annualized_return", "volatility", "sharpe_ratio", "bars_per_year")
 
 
@@ -167,35 +179,54 @@ def correlation_with(curve: DataFrame, benchmark: DataFrame, keys: list[str], be
     return both.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= 2, c).alias("benchmark_correlation"))
 
 
-def bootstrap_paths(returns: np.ndarray, paths: int, horizon: int, block: int, seed: int = SEED) -> np.ndarray:
-    """Growth of ``paths`` futures of ``horizon`` bars, drawn in runs of ``block`` past returns."""
-    rng = np.random.default_rng(seed)
-    growth, left = np.ones(paths), horizon
-    block = min(block, len(returns))
-    while left > 0 and block:
-        size = min(block, left)
-        first = rng.integers(0, len(returns) - size + 1, size=paths)
-        growth *= np.prod(1 + returns[first[:, None] + np.arange(size)], axis=1)
-        left -= size
-    return growth
-
+def bootstrap_paths(returns: np.ndarray, paths: int, horizon: int, block: int, seed: int = SEED, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Growth of ``paths`` futures of ``horizon`` bars, drawn in runs of ``block`` past returns.
 
-def profit_odds(curve: DataFrame, keys: list[str], risk_free: float = 0.04, paths: int = 10_000, horizon: int = 2016, block: int = 10) -> DataFrame:
+    The log of a run's growth is a difference of running sums, so all runs of all paths are looked
+    up at once. A run that holds a return of -1 or less is multiplied out by magnitude and sign: the
+    running sums are of log |1 + r|, beside running counts of zeros and of negative factors.
+    """
+    rng = np.random.default_rng(seed) if rng is None else rng
+    n, width = len(returns), min(block, len(returns))
+    if not width or horizon <= 0:
+        return np.ones(paths)
+    factor = 1.0 + np.asarray(returns, dtype=float)
+    magnitude = np.where(factor == 0, 1.0, np.abs(factor))
+    logs, zeros, signs = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.log(magnitude), factor == 0, factor < 0))
+    whole, rest = divmod(horizon, width)
+    starts = rng.integers(0, n - width + 1, size=(paths, whole))
+    lasts = rng.integers(0, n - rest + 1, size=paths)
+
+    def drawn(total: np.ndarray) -> np.ndarray:
+        return (total[starts + width] - total[starts]).sum(axis=1) + total[lasts + rest] - total[lasts]
+
+    growth = np.exp(drawn(logs)) * np.where(drawn(signs) % 2 == 1, -1.0, 1.0)
+    return np.where(drawn(zeros) > 0, 0.0, growth)
+
+
+def profit_odds(
+    curve: DataFrame, keys: list[str], risk_free: float = 0.04, paths: int = 10_000, horizon: int = 2016, block: int = 10, generator: Callable[[], np.random.Generator] | None = None
+) -> DataFrame:
     """Chances of a bootstrapped horizon to end above 1, the risk-free rate and the benchmark's rate.
 
     ``curve`` also has bars_per_year and benchmark_return (null: no such chance). Each curve is a
     group: its returns are as many as the calendar's times, and the groups run side by side.
+    ``generator`` gives each of them its source of draws; without it all start from SEED. Columns
+    risk_free, paths, horizon or block of ``curve`` go before the arguments of these names.
     """
     schema = ", ".join(f"{k} {t}" for k, t in curve.dtypes if k in keys) + ", profit_odds double, risk_free_odds double, benchmark_odds double"
     ordered = [k for k, _ in curve.dtypes if k in keys]
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
+        own = {"risk_free": risk_free, "paths": paths, "horizon": horizon, "block": block}
+        own |= {k: group[k].iloc[0] for k in own if k in group.columns}
+        bars = int(own["horizon"])
         e = group.sort_values("ts")["equity"].to_numpy(dtype=float)
-        growth = bootstrap_paths(e[1:] / e[:-1] - 1, paths, horizon, block)
+        growth = bootstrap_paths(e[1:] / e[:-1] - 1, int(own["paths"]), bars, int(own["block"]), rng=generator() if generator else None)
         per_year = float(group["bars_per_year"].iloc[0]) if group["bars_per_year"].notna().all() else float("nan")
-        over = lambda rate: float((growth > (1 + rate) ** (horizon / per_year)).mean())
+        over = lambda rate: float((growth > (1 + rate) ** (bars / per_year)).mean())
         rate = group["benchmark_return"].iloc[0]
-        row = [group[k].iloc[0] for k in ordered] + [float((growth > 1).mean()), over(risk_free), None if pd.isna(rate) else over(float(rate))]
+        row = [group[k].iloc[0] for k in ordered] + [float((growth > 1).mean()), over(float(own["risk_free"])), None if pd.isna(rate) else over(float(rate))]
         return pd.DataFrame([row], columns=[*ordered, "profit_odds", "risk_free_odds", "benchmark_odds"])
 
     return curve.groupBy(*keys).applyInPandas(draw, schema)

@@ -95,14 +95,28 @@ def all_events(bars: DataFrame, ranks: DataFrame, points: list[GridPoint]) -> Da
     return reduce(DataFrame.unionByName, out)
 
 
+def _settings(spark, points: list[GridPoint], split: str | None) -> DataFrame:
+    """A row for each point: what its report is made with, and the id of the benchmark rows beside it.
+
+    Points of equal risk settings and split date share one benchmark: -1 less the first one's number.
+    """
+    rows, first = [], {}
+    for n, p in enumerate(points):
+        r, at = p.config.risk, split or str(p.config.universe.train_test_split_date)
+        own = (r.risk_free_rate, at, r.simulate_profit_odds, r.calculate_spy_correlation, r.monte_carlo_paths, r.holding_period_hours, r.monte_carlo_block_size)
+        rows.append((n, -1 - first.setdefault(own, n), r.portfolio_warmup_bars, *own))
+    return spark.createDataFrame(rows, "combo_id int, benchmark_id int, warmup int, risk_free double, split string, simulate boolean, correlate boolean, paths int, horizon int, block int")
+
+
 def run(bars: DataFrame, ranks: DataFrame, points: list[GridPoint], benchmark: DataFrame | None = None, split: str | None = None) -> Backtest:
     """Simulate all points over bars(symbol, ts, open, high, low, close, volume).
 
-    ``ranks`` has symbol and universe_rank, which decides ties; ``benchmark`` has ts and close.
-    The report has a row for each combination, series (model, benchmark) and period.
+    ``ranks`` has symbol and universe_rank, which decides ties; ``benchmark`` has ts and close;
+    ``split`` goes before the points' own dates. The report has a row for each combination, series
+    (model, benchmark) and period, made with the point's own risk settings, warm-up and split date;
+    ``benchmark_id`` names the combo_id of the benchmark rows that go with a row.
     """
     spark = bars.sparkSession
-    risk = points[0].config.risk
     bars = cut(bars)
     events = cut(all_events(bars, ranks, points))
     lookback = {p.config.position_sizing.correlation_lookback_bars for p in points if p.config.position_sizing.reject_correlated_entries}
@@ -113,50 +127,53 @@ def run(bars: DataFrame, ranks: DataFrame, points: list[GridPoint], benchmark: D
         correlations = part if correlations is None else correlations.unionByName(part)
     records = S.simulate(events, _sizing(spark, points), correlations)
     records = cut(records)
-    combos = spark.range(len(points)).select(F.col("id").cast("int").alias("combo_id"))
-    curve = M.equity_curve(records, bars, combos, risk.portfolio_warmup_bars)
-    curve = cut(curve)
-    split = split or str(points[0].config.universe.train_test_split_date)
-    return Backtest(records, curve, report(records, curve, benchmark, risk, split))
+    settings = _settings(spark, points, split)
+    curve = cut(M.equity_curve(records, bars, settings.select("combo_id", "warmup")))
+    return Backtest(records, curve, report(records, curve, benchmark, settings))
 
 
-def report(records: DataFrame, curve: DataFrame, benchmark: DataFrame | None, risk, split: str | None) -> DataFrame:
-    """One row for each combination, series and period."""
+def report(records: DataFrame, curve: DataFrame, benchmark: DataFrame | None, settings: DataFrame) -> DataFrame:
+    """One row for each combination, series and period; ``settings`` has what each is made with."""
     keys = ["combo_id", "period"]
-    model = M.periods(curve, split)
-    stats = M.risk(model, keys, risk.risk_free_rate)
-    for unit in ("day", "week", "month"):
-        stats = stats.join(M.outcomes(model, unit, keys), keys, "left")
-    stats = cut(stats)
-    start = F.broadcast(curve.agg(F.min("ts").alias("_start")))
-    inside = lambda rows, at: rows.join(F.broadcast(stats.select(*keys, "start", "end")), "combo_id").where(F.col(at).between(F.col("start"), F.col("end")))
-    trades = inside(records.where("record = 'trade'").join(start).where("entry_ts >= _start").drop("_start"), "entry_ts")
-    cash = inside(records.where("record = 'cash'").join(start).where("ts >= _start").drop("_start"), "ts")
+
+    def figures(rows: DataFrame) -> DataFrame:
+        stats = M.risk(rows, keys, "risk_free")
+        for unit in ("day", "week", "month"):
+            stats = stats.join(M.outcomes(rows, unit, keys), keys, "left")
+        return stats
+
+    settings = F.broadcast(settings)
+    model = cut(M.periods(curve.join(settings, "combo_id"), F.col("split")))
+    stats = cut(figures(model))
+    begun = curve.groupBy("combo_id").agg(F.min("ts").alias("_start"))
+    inside = lambda rows, at: rows.join(F.broadcast(begun), "combo_id").where(F.col(at) >= F.col("_start")).drop("_start").join(F.broadcast(stats.select(*keys, "start", "end")), "combo_id").where(F.col(at).between(F.col("start"), F.col("end")))
+    trades = inside(records.where("record = 'trade'"), "entry_ts")
+    cash = inside(records.where("record = 'cash'"), "ts")
     stats = stats.join(M.trade_statistics(trades, cash, keys), keys, "left").join(M.average_invested(model, keys), keys, "left")
-    held = None
+    stats = stats.join(settings.select("combo_id", "benchmark_id"), "combo_id")
     rate = F.lit(None).cast("double")
+    paths = model
     if benchmark is not None:
-        held = M.periods(M.buy_and_hold(benchmark), split).withColumn("combo_id", F.lit(-1))
-        base = M.risk(held, keys, risk.risk_free_rate)
-        for unit in ("day", "week", "month"):
-            base = base.join(M.outcomes(held, unit, keys), keys, "left")
-        rates = base.select("period", F.col("annualized_return").alias("benchmark_return"))
-        if risk.calculate_spy_correlation:
-            stats = stats.join(M.correlation_with(model, held.drop("combo_id"), keys, ["period"]), keys, "left")
-        stats = stats.join(rates, "period", "left")
-        base = base.withColumn("benchmark_return", rate)
-        stats = stats.unionByName(base, allowMissingColumns=True)
+        # A grid has few settings, each of which gets the benchmark's curve once.
+        own = settings.groupBy("benchmark_id").agg(*[F.first(c).alias(c) for c in ("risk_free", "split", "simulate", "correlate", "paths", "horizon", "block")])
+        kinds = [tuple(r) for r in own.collect()]
+        each = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(own.columns, k, strict=True)]) for k in kinds])
+        held = M.buy_and_hold(benchmark).withColumn("_s", F.explode(each)).select("*", "_s.*").drop("_s").withColumnRenamed("benchmark_id", "combo_id")
+        held = cut(M.periods(held, F.col("split")))
+        base = cut(figures(held))
+        rates = base.select(F.col("combo_id").alias("benchmark_id"), "period", F.col("annualized_return").alias("benchmark_return"))
+        bench_keys = ["benchmark_id", "period"]
+        both = M.correlation_with(model.where("correlate"), held.select(F.col("combo_id").alias("benchmark_id"), "period", "ts", "equity"), keys, bench_keys)
+        stats = stats.join(both, keys, "left").join(F.broadcast(rates), bench_keys, "left")
+        stats = stats.unionByName(base.withColumns({"benchmark_return": rate, "benchmark_id": F.col("combo_id")}), allowMissingColumns=True)
+        paths = model.unionByName(held, allowMissingColumns=True)
     else:
         stats = stats.withColumn("benchmark_return", rate)
     stats = cut(stats)
-    if risk.simulate_profit_odds:
-        paths = model.select(*keys, "ts", "equity")
-        paths = paths if held is None else paths.unionByName(held.select(*keys, "ts", "equity"))
-        paths = paths.join(stats.where("volatility is not null").select(*keys, "bars_per_year", "benchmark_return"), keys)
-        odds = M.profit_odds(paths, keys, risk.risk_free_rate, risk.monte_carlo_paths, risk.holding_period_hours, risk.monte_carlo_block_size)
-        stats = stats.join(odds, keys, "left")
+    known = stats.where("volatility is not null").select(*keys, "bars_per_year", "benchmark_return")
+    paths = paths.where("simulate").select(*keys, "ts", "equity", "risk_free", "paths", "horizon", "block").join(F.broadcast(known), keys)
     series = F.when(F.col("combo_id") < 0, "benchmark").otherwise("model")
-    return stats.withColumn("series", series)
+    return stats.join(M.profit_odds(paths, keys), keys, "left").withColumn("series", series)
 
 
 def grid_rank(report: DataFrame) -> DataFrame:

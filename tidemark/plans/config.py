@@ -54,7 +54,7 @@ class UniverseConfig(Strict):
 
 
 class IndicatorConfig(Strict):
-    rsi_length: int = Field(12, gt=0)
+    rsi_length: int = Field(12, gt=1)
     stochastic_fastk_period: int = Field(5, gt=0)
     stochastic_slowk_period: int = Field(3, gt=0)
     stochastic_slowd_period: int = Field(3, gt=0)

@@ -71,8 +71,9 @@ def block(model: dict, benchmark: dict | None, color: bool = False, label: str =
 
 def text_report(rows: list[dict], combo_id: int = 0, color: bool = False, label: str = "SPY") -> str:
     """All periods of a combination, from rows of the report table."""
-    held = {r["period"]: r for r in rows if r["series"] == "benchmark"}
     own = {r["period"]: r for r in rows if r["series"] == "model" and r["combo_id"] == combo_id}
+    beside = {r.get("benchmark_id", -1) for r in own.values()}
+    held = {r["period"]: r for r in rows if r["series"] == "benchmark" and r.get("combo_id", -1) in beside}
     return "\n\n".join(block(own[p], held.get(p), color, label) for p in ("overall", "train", "test") if p in own)
 
 
@@ -80,9 +81,10 @@ def equity_svg(curve: list[tuple], benchmark: list[tuple] | None = None, risk_fr
     """Model, benchmark and (dashed) risk-free growth as an inline drawing; points are (time, value)."""
     if not curve:
         return "<svg/>"
-    t0, t1 = curve[0][0], curve[-1][0]
+    ends = [t for points in (curve, benchmark or curve) for t in (points[0][0], points[-1][0])]
+    t0, t1 = min(ends), max(ends)
     span = max((t1 - t0).total_seconds(), 1.0)
-    years = lambda t: (t - t0).total_seconds() / (365.25 * 86400)
+    years = lambda t: (t - curve[0][0]).total_seconds() / (365.25 * 86400)
     free = [(t, (1 + risk_free) ** years(t)) for t, _ in curve]
     lines = [("#1f77b4", "", curve), ("#888888", "6 4", free)] + ([("#ff7f0e", "", benchmark)] if benchmark else [])
     values = [v for _, _, points in lines for _, v in points]

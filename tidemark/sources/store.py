@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.bars import clean
 
@@ -16,9 +18,14 @@ class BarStore:
 
     def _all(self) -> DataFrame | None:
         try:
-            return self.spark.read.option("basePath", self.root).parquet(f"{self.root}/candle={self.length}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            path = f"{self.root}/candle={self.length}"
+            held = self.spark.read.option("basePath", path).parquet(path)
+            # A named type for the partition, or symbols of digits would be read as numbers.
+            kinds = [f for f in held.schema.fields if f.name != "symbol"]
+            typed = T.StructType([*kinds, T.StructField("symbol", T.StringType())])
+            return self.spark.read.schema(typed).option("basePath", path).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
@@ -39,11 +46,11 @@ class BarStore:
         if found is None:
             raise FileNotFoundError(f"no bars under {self.root}/candle={self.length}")
         found = found.where(F.col("symbol").isin(symbols)) if symbols is not None else found
-        return clean(found.withColumn("symbol", F.col("symbol").cast("string")).drop("candle"))
+        return clean(found)
 
     def tickers(self) -> list[str]:
         found = self._all()
-        return [] if found is None else sorted(str(r[0]) for r in found.select("symbol").distinct().collect())
+        return [] if found is None else sorted(r[0] for r in found.select("symbol").distinct().collect())
 
     def exists(self, symbol: str) -> bool:
         found = self._all()
@@ -52,4 +59,4 @@ class BarStore:
     def missing(self, universe: DataFrame) -> DataFrame:
         """Rows of universe(symbol, ...) that have no bars here."""
         found = self._all()
-        return universe if found is None else universe.join(found.select(F.col("symbol").cast("string")).distinct(), "symbol", "left_anti")
+        return universe if found is None else universe.join(found.select("symbol").distinct(), "symbol", "left_anti")

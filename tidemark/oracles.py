@@ -5,6 +5,8 @@ Each piece is a named common table expression with the pieces it reads; a query
 
 from __future__ import annotations
 
+import re
+
 from tidemark.queries import LOOKBACK, MAX_POSITIONS, SPLIT, THRESHOLD, WARMUP
 
 _W = "PARTITION BY symbol ORDER BY rn"
@@ -75,8 +77,8 @@ def _exit(kind: str, way: str) -> tuple[str, str]:
         return f"coalesce(e.rn IS NOT NULL AND q.rsi {'>=' if long else '<='} 50, false)", "NULL"
     if kind == "flexible":
         return ("coalesce(q.rsi - e.rsi >= 12, false)" if long else "coalesce(e.rsi - q.rsi >= 12, false)"), "NULL"
-    if kind == "time":
-        return "coalesce(q.rn - e.rn >= 30, false)", "NULL"
+    if kind.startswith("time"):
+        return f"coalesce(q.rn - e.rn >= {kind[4:] or 30}, false)", "NULL"
     if kind == "margin":
         profit, stop = ("e.c * (1 + 2 * e.vol)", "e.c * (1 - 2 * e.vol)") if long else ("e.c / (1 + 2 * e.vol)", "e.c / (1 - 2 * e.vol)")
     else:
@@ -85,7 +87,7 @@ def _exit(kind: str, way: str) -> tuple[str, str]:
     return f"({won} OR {lost})", f"(CASE WHEN {lost} THEN q.c WHEN {won} THEN {profit} END)"
 
 
-def _sell(way: str, groups: list[list[str]]) -> str:
+def _sell(way: str, groups: list[list[str]], tag: str = "") -> str:
     sold, levels = [], []
     for g in groups:
         rules = [_exit(k, way) for k in g]
@@ -94,7 +96,7 @@ def _sell(way: str, groups: list[list[str]]) -> str:
         levels += [f"CASE WHEN {hit} THEN {v} END" for _, v in rules if v != "NULL"]
     pick = ("least" if way == "long" else "greatest") + f"({', '.join(levels)})" if levels else "NULL"
     any_ = " OR ".join(sold)
-    return f"SELECT q.symbol, q.rn, q.ts, ({any_}) AS sold, CASE WHEN {any_} THEN coalesce({pick}, q.c) END AS price FROM full_{way} q LEFT JOIN full_{way} e ON e.symbol = q.symbol AND e.rn = q.last_buy"
+    return f"SELECT q.symbol, q.rn, q.ts, ({any_}) AS sold, CASE WHEN {any_} THEN coalesce({pick}, q.c) END AS price FROM full_{way}{tag} q LEFT JOIN full_{way}{tag} e ON e.symbol = q.symbol AND e.rn = q.last_buy"
 
 
 _PIECES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -183,17 +185,17 @@ ON h.symbol <> e.symbol AND h.ts <= e.ts AND (h.until IS NULL OR h.until > e.ts)
 }
 
 
-def _sim(name: str, reject: bool) -> None:
-    bad = f"coalesce((SELECT list(other) FROM corrs k WHERE k.symbol = te.symbol AND k.ts = te.ts AND k.c >= {THRESHOLD}), [])" if reject else "[]::VARCHAR[]"
-    _PIECES[f"o_{name}"] = (("te", *(("corrs",) if reject else ())), f"SELECT *, {bad} AS bad, row_number() OVER (ORDER BY ts, kind = 'buy', symbol, seq) AS i FROM te")
+def _sim(name: str, reject: bool, tag: str = "", slots: int = MAX_POSITIONS, threshold: float = THRESHOLD) -> None:
+    bad = f"coalesce((SELECT list(other) FROM corrs{tag} k WHERE k.symbol = te{tag}.symbol AND k.ts = te{tag}.ts AND k.c >= {threshold}), [])" if reject else "[]::VARCHAR[]"
+    _PIECES[f"o_{name}"] = ((f"te{tag}", *((f"corrs{tag}",) if reject else ())), f"SELECT *, {bad} AS bad, row_number() OVER (ORDER BY ts, kind = 'buy', symbol, seq) AS i FROM te{tag}")
     _PIECES[f"s_{name}"] = (
         (f"o_{name}",),
         f"""SELECT 0::BIGINT AS i, 1.0::DOUBLE AS cash, []::STRUCT(s VARCHAR, d VARCHAR, t TIMESTAMP, p DOUBLE, r BIGINT, z DOUBLE)[] AS held, 'none' AS act, NULL::STRUCT(s VARCHAR, d VARCHAR, t TIMESTAMP, p DOUBLE, r BIGINT, z DOUBLE) AS gone
 UNION ALL SELECT i, CASE act WHEN 'buy' THEN cash - size WHEN 'sell' THEN cash + gone.z * (1 + CASE gone.d WHEN 'long' THEN price / gone.p - 1 ELSE 1 - price / gone.p END) ELSE cash END,
   CASE act WHEN 'buy' THEN list_append(held, {{'s': symbol, 'd': direction, 't': ts, 'p': price, 'r': rn, 'z': size}}) WHEN 'sell' THEN list_filter(held, lambda h: h.s <> symbol) ELSE held END, act, gone FROM (
-    SELECT *, cash / nullif({MAX_POSITIONS} - len(held), 0) AS size, list_filter(held, lambda h: h.s = symbol)[1] AS gone,
+    SELECT *, cash / nullif({slots} - len(held), 0) AS size, list_filter(held, lambda h: h.s = symbol)[1] AS gone,
       CASE WHEN kind = 'sell' THEN CASE WHEN list_contains(list_transform(held, lambda h: h.s), symbol) THEN 'sell' ELSE 'none' END
-        WHEN list_contains(list_transform(held, lambda h: h.s), symbol) OR len(held) >= {MAX_POSITIONS} OR list_has_any(bad, list_transform(held, lambda h: h.s)) THEN 'none' ELSE 'buy' END AS act
+        WHEN list_contains(list_transform(held, lambda h: h.s), symbol) OR len(held) >= {slots} OR list_has_any(bad, list_transform(held, lambda h: h.s)) THEN 'none' ELSE 'buy' END AS act
     FROM (SELECT o.*, x.cash, x.held FROM s_{name} x JOIN o_{name} o ON o.i = x.i + 1))""",
     )
     _PIECES[f"t_{name}"] = (
@@ -219,9 +221,9 @@ _PIECES |= {
 }
 
 
-def _periods(of: str) -> str:
+def _periods(of: str, split: str = SPLIT) -> str:
     rows = "SELECT '{0}' AS period, ts, cash, equity FROM " + of
-    return f"{rows.format('overall')} UNION ALL {rows.format('train')} WHERE ts <= TIMESTAMP '{SPLIT}' UNION ALL {rows.format('test')} WHERE ts >= TIMESTAMP '{SPLIT}'"
+    return f"{rows.format('overall')} UNION ALL {rows.format('train')} WHERE ts <= TIMESTAMP '{split}' UNION ALL {rows.format('test')} WHERE ts >= TIMESTAMP '{split}'"
 
 
 def _figures(of: str) -> tuple[tuple[str, ...], str]:
@@ -236,20 +238,24 @@ _PIECES |= {"pc": (("curve",), _periods("curve")), "ph": (("hold",), _periods("h
 _PIECES |= {"fc": _figures("pc"), "fh": _figures("ph")}
 
 
-def _risk(of: str, where: str = "true") -> str:
-    growth = "CASE period WHEN 'overall' THEN z ELSE z / f END"
-    annual = f"(CASE WHEN years > 0 THEN pow({growth}, 1 / years) - 1 END)"
-    vol = "nullif(CASE WHEN years > 0 THEN sd * sqrt(bars / years) END, 0)"
+_GROWTH = "CASE period WHEN 'overall' THEN z ELSE z / f END"
+_ANNUAL = f"(CASE WHEN years > 0 THEN pow({_GROWTH}, 1 / years) - 1 END)"
+_VOL = "nullif(CASE WHEN years > 0 THEN sd * sqrt(bars / years) END, 0)"
+_KNOWN = "(period = 'overall' OR (bars >= 2 AND f > 0))"
+
+
+def _risk(of: str, where: str = "true", rate: float = 0.04) -> str:
+    annual, vol = _ANNUAL, _VOL
     return (
         f"SELECT period, strftime(s, '%Y-%m-%d %H:%M:%S') AS \"start\", strftime(e, '%Y-%m-%d %H:%M:%S') AS \"end\", bars, round(z / f - 1, 5) AS period_return, round({annual}, 5) AS annualized_return, "
-        f"round({vol}, 5) AS volatility, round(({annual} - 0.04) / {vol}, 5) AS sharpe_ratio FROM {of} WHERE {where} AND (period = 'overall' OR (bars >= 2 AND f > 0))"
+        f"round({vol}, 5) AS volatility, round(({annual} - {rate}) / {vol}, 5) AS sharpe_ratio FROM {of} WHERE {where} AND {_KNOWN}"
     )
 
 
-def _outcome(unit: str) -> str:
+def _outcome(unit: str, of: str = "pc") -> str:
     return (
         f"SELECT period, count(*) FILTER (d > 0) AS {unit}s_won, count(*) FILTER (d < 0) AS {unit}s_lost, count(*) FILTER (d = 0) AS {unit}s_flat FROM (SELECT period, e - lag(e) OVER (PARTITION BY period ORDER BY u) AS d "
-        f"FROM (SELECT period, date_trunc('{unit}', ts) AS u, arg_max(equity, ts) AS e FROM pc GROUP BY ALL)) GROUP BY period"
+        f"FROM (SELECT period, date_trunc('{unit}', ts) AS u, arg_max(equity, ts) AS e FROM {of} GROUP BY ALL)) GROUP BY period"
     )
 
 
@@ -337,6 +343,130 @@ for _n, _way, _groups in (
     _ROWS[_n] = ((f"full_{_way}",), f"SELECT symbol, {_TS} AS ts, sold, round(price, 6) AS price FROM ({_sell(_way, _groups)})")
 
 
+# Whole backtests: the engine's plan doesn't round its oscillators, so their means are summed here in
+# the same order, and the crossover is judged on them as they are.
+_PIECES |= {
+    "k_own": (("raws",), f"SELECT *, CASE WHEN rn >= 6 THEN ({_prior('raw', 2)} + {_prior('raw', 1)} + raw) / 3 END AS k0 FROM raws"),
+    "sto_own": (("k_own",), f"SELECT symbol, ts, rn, CASE WHEN rn >= 8 THEN k0 END AS k, CASE WHEN rn >= 8 THEN ({_prior('k0', 2)} + {_prior('k0', 1)} + k0) / 3 END AS d FROM k_own"),
+    "osc_own": (("b", "sto_own", "vols"), "SELECT b.*, o.k, o.d, NULL::DOUBLE AS rsi, vols.vol FROM b JOIN sto_own o USING (symbol, rn) JOIN vols USING (symbol, rn)"),
+}
+
+
+def _watch(way: str) -> str:
+    past, over, reached = ("k < 50", "k > d", "k > base + 10") if way == "long" else ("k > 50", "k < d", "k < base - 10")
+    return f"""SELECT symbol, -1::BIGINT AS rn, NULL::BIGINT AS since, NULL::DOUBLE AS base, false AS hit FROM (SELECT DISTINCT symbol FROM osc_own)
+UNION ALL
+SELECT symbol, rn, CASE WHEN expired OR fire THEN NULL ELSE armed END, base, fire FROM (
+  SELECT *, coalesce(NOT expired AND armed IS NOT NULL AND {over} AND {reached}, false) AS fire FROM (
+    SELECT *, coalesce(rn - armed >= 10, false) AS expired FROM (
+      SELECT o.symbol, o.rn, o.k, o.d, CASE WHEN x.since IS NULL AND {past.replace('k', 'o.k')} THEN o.rn ELSE x.since END AS armed, CASE WHEN x.since IS NULL THEN o.k ELSE x.base END AS base
+      FROM watch_{way} x JOIN osc_own o ON o.symbol = x.symbol AND o.rn = x.rn + 1)))"""
+
+
+#: Pieces that a strategy, and that a point of a grid, has of its own.
+_OF_STRATEGY = ("flags", "states", "emitted", "te", "corrs")
+_OF_POINT = ("cashes", "open", "marks", "curve0", "curve", "hold", "pc", "ph", "fc", "fh")
+
+
+def _own(sql: str, names: dict[str, str]) -> str:
+    return re.sub(rf"\b({'|'.join(names)})\b", lambda m: names[m[1]], sql)
+
+
+def _strategy(tag: str, ways: tuple[str, ...], groups: list[list[str]]) -> None:
+    for way in ways:
+        _PIECES[f"watch_{way}"] = (("osc_own",), _watch(way))
+        _PIECES[f"full_{way}{tag}"] = (
+            ("osc_own", "lev", f"watch_{way}"),
+            f"SELECT o.*, lev.above, lev.below, x.hit AS buy, max(CASE WHEN x.hit THEN rn END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS last_buy FROM osc_own o JOIN lev USING (symbol, rn) JOIN watch_{way} x USING (symbol, rn)",
+        )
+        _PIECES[f"sells_{way}{tag}"] = ((f"full_{way}{tag}",), _sell(way, groups, tag))
+    names = {n: n + tag for n in _OF_STRATEGY} | {f"{p}_{w}": f"{p}_{w}{tag}" for p in ("full", "sells") for w in ways}
+    for n in _OF_STRATEGY:
+        needs, sql = _PIECES[n]
+        _PIECES[n + tag] = (tuple(names.get(x, x) for x in needs), _own(sql, names))
+    if ways == ("long",):
+        _PIECES[f"flags{tag}"] = (
+            (f"full_long{tag}", f"sells_long{tag}"),
+            f"SELECT symbol, rn, l.ts, l.c, l.buy AS bl, sl.sold AS sl, sl.price AS pl, false AS bs, false AS ss, NULL::DOUBLE AS ps FROM full_long{tag} l JOIN sells_long{tag} sl USING (symbol, rn)",
+        )
+
+
+def _point(tag: str, sim: str, warmup: int = WARMUP, split: str = SPLIT) -> None:
+    names = {n: n + tag for n in _OF_POINT} | {f"{x}_gated": f"{x}_{sim}" for x in "sot"}
+    for n in _OF_POINT:
+        needs, sql = _PIECES[n]
+        if n == "curve0":
+            sql = sql.replace(f"least({WARMUP},", f"least({warmup},")
+        _PIECES[n + tag] = (tuple(names.get(x, x) for x in needs), _own(sql.replace(SPLIT, split), names))
+
+
+def _sharpe(of: str, period: str, rate: float = 0.04) -> str:
+    return f"(SELECT ({_ANNUAL} - {rate}) / {_VOL} FROM {of} WHERE period = '{period}' AND {_KNOWN})"
+
+
+_strategy("_g", ("long",), [["margin"], ["time"]])
+_GRID = [(t, n) for t in (0.0, 0.1, 0.9) for n in (2, 4)]
+for _k, (_t, _n) in enumerate(_GRID):
+    _sim(f"g{_k}", True, "_g", _n, _t)
+    _point(f"_g{_k}", f"g{_k}")
+_PIECES["ranked"] = (
+    tuple(f"fc_g{k}" for k in range(len(_GRID))),
+    " UNION ALL ".join(f"SELECT {k} AS combo_id, {_sharpe(f'fc_g{k}', 'train')} AS train_sharpe, {_sharpe(f'fc_g{k}', 'test')} AS test_sharpe" for k in range(len(_GRID))),
+)
+#: Points of the grid over risk settings, warm-up and split date: (rate, warm-up, split, benchmark).
+RISK_GRID = [(0.0, 15, "2024-01-20", 0), (0.5, 15, "2024-01-20", 1), (0.04, 60, "2024-01-10", 2), (0.04, 15, "2024-01-10", 2)]
+_sim("r", True, "_g", 4, 0.0)
+for _k, (_, _warm, _split, _) in enumerate(RISK_GRID):
+    _point(f"_r{_k}", "r", _warm, f"{_split} 00:00:00")
+_strategy("_w", ("long", "short"), [["margin"], ["levels"], ["time60"]])
+_sim("w", True, "_w", 4, 0.0)
+_point("_w", "w")
+
+
+def _geometric(x: str, digits: int = 6) -> str:
+    return f"round(CASE WHEN min({x}) = -1 THEN -1 WHEN min({x}) > -1 THEN exp(avg(CASE WHEN {x} > -1 THEN ln(1 + {x}) END)) - 1 END, {digits})"
+
+
+def _report() -> str:
+    """All rows of one backtest: model and benchmark by period, without the random odds."""
+    sides = []
+    for series, f, p in (("model", "fc_w", "pc_w"), ("benchmark", "fh_w", "ph_w")):
+        outcomes = " ".join(f"LEFT JOIN ({_outcome(u, p)}) USING (period)" for u in ("day", "week", "month"))
+        sides.append(f"SELECT '{series}' AS series, * FROM ({_risk(f)}) {outcomes}")
+    counted = ", ".join(f"{u}s_{w}" for u in ("day", "week", "month") for w in ("won", "lost", "flat"))
+    figures = f'period, "start", "end", bars, period_return, annualized_return, volatility, sharpe_ratio, {counted}'
+    span = "FROM fc_w f JOIN {0} ON {1} BETWEEN f.s AND f.e AND {1} >= (SELECT min(ts) FROM curve_w) GROUP BY period"
+    profit, size = "t.profit", "t.size"
+    trades = f"""SELECT period, count(*) AS trade_count, count(*) FILTER (profit > 0) AS trades_won, count(*) FILTER (profit <= 0) AS trades_lost, {_geometric(profit)} AS average_profit,
+{_geometric(f'{profit} * {size}')} AS average_profit_weighted, {_geometric(f'(CASE WHEN {profit} > 0 THEN {profit} END)')} AS average_win, {_geometric(f'(CASE WHEN {profit} <= 0 THEN {profit} END)')} AS average_loss,
+round(avg(t.bars), 6) AS average_duration_bars {span.format('t_w t', 't.entry_ts')}"""
+    changed = "(SELECT o.ts, len(s.held) AS n FROM s_w s JOIN o_w o USING (i) WHERE s.act <> 'none') h"
+    most = f"SELECT period, max(n) AS most_positions {span.format(changed, 'h.ts')}"
+    held = f"SELECT period, coalesce(trade_count, 0) AS trade_count, coalesce(trades_won, 0) AS trades_won, coalesce(trades_lost, 0) AS trades_lost, average_profit, average_profit_weighted, average_win, average_loss, average_duration_bars, coalesce(most_positions, 0) AS most_positions FROM ({trades}) FULL JOIN ({most}) USING (period)"
+    step = "SELECT period, ts, equity / lag(equity) OVER (PARTITION BY period ORDER BY ts) - 1 AS r FROM {0}"
+    together = f"SELECT period, round(corr(x.r, y.r), 6) AS benchmark_correlation FROM ({step.format('pc_w')}) x JOIN ({step.format('ph_w')}) y USING (period, ts) WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY period HAVING count(*) >= 2"
+    traded = "trade_count, trades_won, trades_lost, average_profit, average_profit_weighted, average_win, average_loss, average_duration_bars, most_positions"
+    nulls = ", ".join(f"NULL AS {c}" for c in traded.split(", "))
+    return f"""SELECT 'model' AS series, {figures}, {traded}, average_fraction_invested, benchmark_correlation, benchmark_return FROM ({sides[0]})
+LEFT JOIN ({held}) USING (period) LEFT JOIN (SELECT period, round(avg(1 - cash / equity), 6) AS average_fraction_invested FROM pc_w GROUP BY period) USING (period)
+LEFT JOIN ({together}) USING (period) LEFT JOIN (SELECT period, annualized_return AS benchmark_return FROM ({_risk('fh_w')})) USING (period)
+UNION ALL SELECT 'benchmark', {figures}, {nulls}, NULL, NULL, NULL FROM ({sides[1]})"""
+
+
+_ROWS |= {
+    "grid_rank": (("ranked",), "SELECT combo_id, round(train_sharpe, 5) AS train_sharpe, round(test_sharpe, 5) AS test_sharpe, row_number() OVER (ORDER BY round(train_sharpe, 9) DESC NULLS LAST, combo_id) AS rank FROM ranked"),
+    "grid_sharpe_correlation": (("ranked",), "SELECT count(*) AS pairs, round(corr(train_sharpe, test_sharpe), 5) AS correlation FROM ranked WHERE train_sharpe IS NOT NULL AND test_sharpe IS NOT NULL"),
+    "grid_risk": (
+        tuple(f"{f}_r{k}" for k in range(len(RISK_GRID)) for f in ("fc", "fh")),
+        " UNION ALL ".join(
+            [f"SELECT {k} AS combo_id, 'model' AS series, {-1 - m} AS benchmark_id, * FROM ({_risk(f'fc_r{k}', rate=rate)})" for k, (rate, _, _, m) in enumerate(RISK_GRID)]
+            + [f"SELECT {-1 - m}, 'benchmark', {-1 - m}, * FROM ({_risk(f'fh_r{k}', rate=rate)})" for k, (rate, _, _, m) in enumerate(RISK_GRID) if m == k]
+        ),
+    ),
+    "backtest_report": (("fc_w", "fh_w", "pc_w", "ph_w", "curve_w", "t_w", "s_w", "o_w"), _report()),
+}
+
+
 def _needed(names: tuple[str, ...], seen: list[str]) -> list[str]:
     for n in names:
         if n not in seen:

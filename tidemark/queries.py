@@ -238,8 +238,7 @@ def signals_both(spark: SparkSession, d: str) -> DataFrame:
     o = bought(spark, d)
     for w in ("long", "short"):
         o = R.with_sell(o, w, [[MARGIN], [TIME]])
-    rank = o.select("symbol").distinct().withColumn("universe_rank", F.row_number().over(Window.orderBy("symbol")))
-    return o.join(F.broadcast(rank), "symbol").withColumn("combo_id", F.lit(0))
+    return o.join(F.broadcast(ranks_of(o)), "symbol").withColumn("combo_id", F.lit(0))
 
 
 def events_of(spark: SparkSession, d: str) -> DataFrame:
@@ -366,7 +365,7 @@ def benchmark_correlation(spark, d):
 def profit_odds(spark, d):
     curve = M.periods(curve_of(spark, d), SPLIT)
     stats = M.risk(curve, ["combo_id", "period"], 0.04).where("volatility is not null").select("combo_id", "period", "bars_per_year", F.lit(0.05).alias("benchmark_return"))
-    return M.profit_odds(curve.join(stats, ["combo_id", "period"]), ["combo_id", "period"], 0.04, 2000, 500, 10)
+    return M.profit_odds(curve.join(stats, ["combo_id", "period"]), ["combo_id", "period"], 0.04)
 
 
 @lru_cache(maxsize=1)
@@ -381,8 +380,7 @@ def grid_points() -> tuple[GridPoint, ...]:
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     bars = walk_bars(spark, d)
-    ranks = bars.select("symbol").distinct().withColumn("universe_rank", F.row_number().over(Window.orderBy("symbol")))
-    return grid_rank(run_points(bars, ranks, list(grid_points()), split=SPLIT).report)
+    return grid_rank(run_points(bars, ranks_of(bars), list(grid_points()), split=SPLIT).report)
 
 
 @query
@@ -395,15 +393,49 @@ def grid_sharpe_correlation(spark, d):
     return sharpe_correlation(_ranked(spark, d)).select("pairs", r("correlation", 5).alias("correlation"))
 
 
+def risk_points() -> list[GridPoint]:
+    """Points that differ in the risk-free rate, the warm-up and the split date only."""
+    base = {
+        "universe": {"start_date": "2023-01-01", "train_test_split_date": "2024-01-20", "end_date": "2025-01-01"},
+        "strategy": {"buy_signal_order": [["stochastic_crossover"]], "buy_signal_expiration_bars": [], "sell_rule_groups": [[{"kind": "margin"}], [{"kind": "time", "max_bars_held": 30}]]},
+    }
+    out = []
+    for rate, warmup, split in ((0.0, 15, "2024-01-20"), (0.5, 15, "2024-01-20"), (0.04, 60, "2024-01-10"), (0.04, 15, "2024-01-10")):
+        own = base | {"universe": base["universe"] | {"train_test_split_date": split}, "risk": {"simulate_profit_odds": False, "risk_free_rate": rate, "portfolio_warmup_bars": warmup}}
+        out.append(GridPoint({"risk.risk_free_rate": rate, "risk.portfolio_warmup_bars": warmup, "universe.train_test_split_date": split}, Config.model_validate(own)))
+    return out
+
+
+def ranks_of(bars: DataFrame) -> DataFrame:
+    return bars.select("symbol").distinct().withColumn("universe_rank", F.row_number().over(Window.orderBy("symbol")))
+
+
+@query
+def grid_risk(spark, d):
+    """A grid whose points are reported each with its own rate, warm-up and split."""
+    bars = walk_bars(spark, d)
+    held = bars.where("symbol = 'view'").select("ts", "close")
+    found = run_points(bars, ranks_of(bars), risk_points(), held).report
+    return found.select("combo_id", "series", "benchmark_id", "period", text("start").alias("start"), text("end").alias("end"), "bars", *[r(c, 5).alias(c) for c in FIGURES])
+
+
 @query
 def backtest_report(spark, d):
-    """The flagship: a whole backtest with benchmark, periods and bootstrap."""
+    """The flagship: a whole backtest with benchmark and periods; profit_odds has the bootstrap."""
     bars = walk_bars(spark, d)
-    ranks = bars.select("symbol").distinct().withColumn("universe_rank", F.row_number().over(Window.orderBy("symbol")))
-    config = Config.model_validate({"directions": ["long", "short"], "strategy": {"buy_signal_order": [["stochastic_crossover"]], "sell_rule_groups": [[{"kind": "margin"}], [{"kind": "support_resistance"}], [{"kind": "time"}]]}})
+    config = Config.model_validate(
+        {
+            "directions": ["long", "short"],
+            "risk": {"simulate_profit_odds": False},
+            "strategy": {"buy_signal_order": [["stochastic_crossover"]], "sell_rule_groups": [[{"kind": "margin"}], [{"kind": "support_resistance"}], [{"kind": "time"}]]},
+        }
+    )
     held = bars.where("symbol = 'view'").select("ts", "close")
-    found = run_points(bars, ranks, [GridPoint({}, config)], held, SPLIT).report
-    return found.withColumns({"start": text("start"), "end": text("end")})
+    found = run_points(bars, ranks_of(bars), [GridPoint({}, config)], held, SPLIT).report
+    counts = [f"{u}s_{w}" for u in ("day", "week", "month") for w in ("won", "lost", "flat")] + ["trade_count", "trades_won", "trades_lost", "most_positions"]
+    means = ("average_profit", "average_profit_weighted", "average_win", "average_loss", "average_duration_bars", "average_fraction_invested", "benchmark_correlation")
+    figures = [r(c, 5).alias(c) for c in (*FIGURES, "benchmark_return")] + [r(c).alias(c) for c in means]
+    return found.select("series", "period", text("start").alias("start"), text("end").alias("end"), "bars", *counts, *figures)
 
 
 def queries() -> dict[str, Query]:

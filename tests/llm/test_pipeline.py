@@ -168,16 +168,32 @@ def test_short_texts_are_joined_exactly(spark):
     assert got == {i: i // 2 * 2 for i in range(300)}
 
 
+def test_recall_by_pair_and_by_document(spark):
+    """20 families of 30 texts around a similarity of 0.8, against all pairs."""
+    rows = []
+    for f in range(20):
+        rows += [(1000 * f + i, t, *rest) for i, t, *rest in edits_of_one_template(30, (2, 3, 4, 5, 6), seed=50 + f, words=300)]
+    want = groups_brute(rows)
+    got = {r.id: r.kept_id for r in near_groups(spark.createDataFrame(rows, COLUMNS)).collect()}
+    own = [(r[0], sets(r[1])) for r in rows]
+    pairs = [(a, b) for k, (a, x) in enumerate(own) for b, y in own[:k] if (c := len(x & y)) >= 0.8 * (len(x) + len(y) - c)]
+    assert len(pairs) > 400 and all(got[i] in (want[i], i) or want[got[i]] == want[i] for i in want)
+    joined = sum(got[a] == got[b] for a, b in pairs)
+    gone, found = (sum(g[i] != i for i in want) for g in (want, got))
+    print(f"pairs {joined} of {len(pairs)}, documents {found} of {gone}")
+    assert joined >= 0.98 * len(pairs) and found >= 0.98 * gone
+
+
 def test_exact_links_over_split_keys(spark):
     rows = edits_of_one_template(120, (3, 4, 5), seed=2)
     want = groups_brute(rows)
-    hashed = [(1, i, i, sorted({hash(x) for x in sets(t)})) for i, t, *_ in rows]
-    df = spark.createDataFrame(hashed, "key long, v long, own long, shingles array<long>")
+    hashed = [(1, i, sorted({hash(x) for x in sets(t)})) for i, t, *_ in rows]
+    df = spark.createDataFrame(hashed, "key long, v long, shingles array<long>")
     for part in (1 << 20, 10_000):
         links = exact_links(df, "key", 0.8, part)
         found = {r.id: r.component for r in connected_components(links).collect()}
         assert {i: found.get(i, i) for i in want} == want
-    assert exact_links(df.withColumn("own", F.lit(7).cast("long")), "key", 0.8).count() == 0
+    assert exact_links(df.withColumn("key", F.col("v")), "key", 0.8).count() == 0
 
 
 def test_each_stage_keeps_columns_and_takes_empty_tables(spark, tmp_path):

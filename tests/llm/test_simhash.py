@@ -87,3 +87,16 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_longer_keys_lose_no_pair():
+    rng = random.Random(9)
+    lengths = []
+    for rows in (0, 10**7, 10**9, 10**12):
+        choices = S.block_shards(4, rows=rows)
+        lengths.append(min(map(len, choices)))
+        for _ in range(200):
+            apart = set(rng.sample(range(64), 4))
+            assert any(not apart & set(c) for c in choices)
+    assert lengths[0] == 12 and lengths == sorted(lengths) and (10**12 >> lengths[-1]) <= S.TREE_NODES
+    assert S.sample_plan(10**6) == (S.TABLES, S.SAMPLE) and S.sample_plan(10**9) > S.sample_plan(10**8)

@@ -8,11 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import UnionFind, cells, cut, releasing, words_of
+from tidemark.llm.common import UnionFind, cell_tables, cells, cut, mix64, releasing, words_of
 from tidemark.llm.components import connected_components
 
 #: Fingerprints that one tree may hold; a shard with more is split into cells of two such parts.
@@ -238,7 +239,8 @@ SHORT = 64
 
 
 def shingle_sets(rows: DataFrame, k: int, lower: bool = True) -> DataFrame:
-    """``v, shingles``: the distinct hashed k-word shingles of the texts of ``rows(v, text)``."""
+    """``v, shingles``: the distinct hashed k-word shingles of the texts of ``rows(v, text)``; a text
+    without words has the one shingle 0, so such texts are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -247,7 +249,7 @@ def shingle_sets(rows: DataFrame, k: int, lower: bool = True) -> DataFrame:
                 sets = []
                 for t in batch.column(1):
                     h = np.array([xxhash.xxh64_intdigest(r) for r in shingles(words_of(t.as_py(), lower), k)], dtype=np.uint64)
-                    sets.append(np.unique(h).view(np.int64))
+                    sets.append(np.unique(h).view(np.int64) if len(h) else np.zeros(1, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["v", "shingles"])
 
     return rows.select("v", "text").mapInArrow(releasing(run), "v long, shingles array<long>")
@@ -257,25 +259,33 @@ def shingle_sets(rows: DataFrame, k: int, lower: bool = True) -> DataFrame:
 PART_SHINGLES, ROW_SHINGLES = 1 << 20, 256
 
 
-def _joined(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links between rows of different ``own`` labels, after which no two labels have a similar pair.
+#: Rows that are compared with all others before one label may be passed over.
+FIRST_ROWS = 32
 
-    Only rows outside the most common label are compared with all others, and only until their
-    labels are one, so rows that are linked already cost nothing.
+
+def _joined(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links after which no two groups of linked rows have a similar pair.
+
+    Rows are compared with all others that share a shingle. After the first FIRST_ROWS the largest
+    group is the hub; from then on its rows, each of which would be compared with rows that are
+    compared themselves, are passed over, so a group of near copies costs next to nothing.
     """
-    root = np.unique(own, return_inverse=True)[1]
-    if not len(root) or not root.any():
-        return []
-    hub, n = int(np.argmax(root == np.bincount(root).argmax())), len(ids)
+    n = len(ids)
     sizes = np.array([len(x) for x in sets])
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
     posting = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
     many = np.bincount(token)
     first, ends = np.cumsum(many) - many, np.cumsum(sizes)
+    root, hub = np.arange(n), None
+    # Rows in an order that is no order of the texts, so that the first ones are like the rest.
+    order = np.argsort(mix64(ids.astype(np.uint64)), kind="stable")
     out = []
-    for x in range(n):
-        if root[x] == root[hub]:
-            continue
+    for k, x in enumerate(order):
+        if k >= FIRST_ROWS:
+            if hub is None:
+                hub = int(order[np.argmax(np.bincount(root, minlength=n)[root[order]])])
+            if root[x] == root[hub]:
+                continue
         t = token[ends[x] - sizes[x] : ends[x]]
         spread = np.repeat(first[t] - np.cumsum(many[t]) + many[t], many[t])
         common = np.bincount(posting[spread + np.arange(len(spread))], minlength=n)
@@ -289,34 +299,22 @@ def _joined(ids: np.ndarray, own: np.ndarray, sets: list[np.ndarray], similarity
 def exact_links(rows: DataFrame, key: str, similarity: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """``a, b``: links that join all similar pairs of each key, verified on the sets before they join.
 
-    ``rows`` has the key, ``v, own, shingles``; rows of equal ``own`` are linked already. A key with
+    ``rows`` has the key, ``v, shingles``. A set goes once to where its key's rows meet; a key with
     more than ``part_shingles`` shingles is split into cells of two such parts.
     """
     weighed = rows.withColumn("_w", F.size("shingles") + ROW_SHINGLES)
-    dealt = cells(weighed, [key], "v", part_shingles, "_w").select(key, "i", "j", "v", "own", "shingles")
+    dealt = cells(weighed, [key], "v", part_shingles, "_w").select(key, "i", "j", "v", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
-
-        def close() -> pa.RecordBatch:
-            ids, own, sets = zip(*held, strict=True) if held else ((), (), ())
-            held.clear()
-            found = _joined(np.array(ids, dtype=np.int64), np.array(own, dtype=np.int64), list(sets), similarity)
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            *keys, ids, own = (batch.column(x).to_pylist() for x in range(5))
-            for at, now in enumerate(zip(*keys, strict=True)):
-                if cell != now:
-                    if len(held) > 1:
-                        yield close()
-                    held.clear()
-                    cell = now
-                # A copy: a view would keep the whole batch.
-                held.append((ids[at], own[at], batch.column(5)[at].values.to_numpy(zero_copy_only=False).copy()))
-        if len(held) > 1:
-            yield close()
+        for _, cell in cell_tables(batches, 3):
+            if cell.num_rows < 2:
+                continue
+            sets = cell.column("shingles").combine_chunks()
+            sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+            flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+            found = _joined(cell.column("v").to_numpy(), np.split(flat, ends[:-1]), similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return dealt.mapInArrow(releasing(run), "a long, b long")
 
@@ -330,7 +328,7 @@ def short_links(sets: DataFrame, similarity: float, most: int | None = SHORT) ->
     """
     n = F.size("shingles")
     first = F.slice(F.array_sort("shingles"), F.lit(1), n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1)
-    keyed = sets.where((n > 0) & (F.lit(most is None) | (n <= (most or 0)))).select(F.explode(first).alias("key"), "v", F.col("v").alias("own"), "shingles")
+    keyed = sets.where((n > 0) & (F.lit(most is None) | (n <= (most or 0)))).select(F.explode(first).alias("key"), "v", "shingles")
     return exact_links(keyed, "key", similarity)
 
 
@@ -341,9 +339,9 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     link if the Jaccard similarity of their k-word shingle sets (A-Z lower-cased; a shorter text is
     one shingle) is ``similarity`` or more. Candidates come from SimHash fingerprints of these sets in
     BK-trees over shards of sampled bits, as the closest-first spanning forests of pairs within the
-    radius; each forest link is verified on the exact sets. A forest connects what all candidates
-    do, so where one of its links is false, the rest of the true ones lie within the same candidate
-    component: there, all pairs that verified links don't connect are compared on their sets.
+    radius. A forest connects what all candidates do, so every candidate pair lies within a component
+    of the forests, and the texts of such a component are linked on their exact sets: a false
+    candidate takes no true one's place, and a set is sent once, however many candidates it is in.
     Texts of ``short`` shingles or fewer are joined exactly besides; with None all texts are, at the
     price of a row for each of a fifth of a text's shingles. Texts without words are one group.
     """
@@ -369,20 +367,9 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     # One row for each text: the one that gave the id. Repeated rows of it have equal sets.
     rows = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
     sets = cut(shingle_sets(rows, k).dropDuplicates(["v"]))
-    both = near.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    true = both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
-    tight = cut(connected_components(true.unionByName(short_links(sets, similarity, short))))
     labels = connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose"))
-    labels = labels.join(tight.withColumnRenamed("id", "v"), "v", "left").select("v", "loose", F.coalesce("component", "v").alias("own"))
-    labels = cut(labels)
-    mixed = labels.groupBy("loose").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("loose")
-    rows = cut(labels.join(mixed, "loose").join(sets, "v").select("loose", "v", "own", "shingles"))
-    more = exact_links(rows, "loose", similarity)
-    whole = tight.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+    more = exact_links(labels.join(sets, "v").select("loose", "v", "shingles"), "loose", similarity)
+    whole = more.unionByName(short_links(sets, similarity, short))
     groups = texts.join(connected_components(whole).withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
     groups = cut(groups.select("h1", "h2", "id", "g"))
     least = groups.groupBy("g").agg(F.min("id").alias("kept_id"))

@@ -36,7 +36,12 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 def describe(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the ``length`` nearest pivots of each unit row, nearest first; ties by number."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :length].astype(np.uint16)
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :length].astype(number(pivots))
+
+
+def number(pivots: np.ndarray) -> type:
+    """The type of a pivot's number."""
+    return np.uint8 if len(pivots) <= 256 else np.uint16
 
 
 def padded(vectors: list, width: int) -> np.ndarray:
@@ -96,7 +101,7 @@ class Index:
         """Descriptions as sets: 64-bit words with a bit for each pivot."""
         out = np.zeros((len(top), max(1, -(-len(self.pivots) // 64))), dtype=np.uint64)
         for c in range(top.shape[1]):
-            np.bitwise_or.at(out, (np.arange(len(top)), top[:, c] >> 6), np.uint64(1) << (top[:, c] & 63).astype(np.uint64))
+            out[np.arange(len(top)), top[:, c] >> 6] |= np.uint64(1) << (top[:, c] & 63).astype(np.uint64)
         return out
 
 
@@ -163,7 +168,7 @@ def _posted(classes: DataFrame, index: Index) -> DataFrame:
                 if len(index.pivots):
                     top = describe(padded([v.values for v in batch.column(1)], index.pivots.shape[1]), index.pivots, index.length)
                 else:
-                    top = np.zeros((batch.num_rows, 0), dtype=np.uint16)
+                    top = np.zeros((batch.num_rows, 0), dtype=np.uint8)
                 rows, keys = index.post(top)
                 tops = pa.array([t.tobytes() for t in top], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(rows)), tops.take(pa.array(rows))], ["key", "cls", "top"])
@@ -172,7 +177,7 @@ def _posted(classes: DataFrame, index: Index) -> DataFrame:
 
 
 def _tops(column: pa.ChunkedArray, index: Index) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, index.length) if index.length else np.zeros((len(column), 0), dtype=np.uint16)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=number(index.pivots)).reshape(-1, index.length) if index.length else np.zeros((len(column), 0), dtype=np.uint8)
 
 
 _CELL = ["key", "i", "j"]
@@ -291,8 +296,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, pivots: int | No
 
     Two vectors link at a cosine (double precision) of ``threshold`` or more. Vectors that are null,
     empty, zero, or hold null or non-finite components link with nothing, nor do vectors of
-    different lengths. Equal vectors are one class with a count of copies; copies aren't compared
-    pair by pair. Every class is in the index, which is fitted on a bounded sample (see ``fit``) to
+    different lengths. Equal vectors (by 128 bits of hash) are one class with a count of copies;
+    copies aren't compared pair by pair. Every class is in the index, which is fitted on a bounded sample (see ``fit``) to
     find ``recall`` of the pairs right at the threshold; ``exact`` gives all, by comparing all.
 
     Inverted lists hold numbers and ordered descriptions; in a list, rows that share enough pivots
@@ -304,8 +309,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, pivots: int | No
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     valid = F.coalesce((F.size(x) > 0) & finite & F.exists(x, lambda c: c != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.when(valid, x).alias("embedding"))
-    classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.when(valid, x).alias("embedding"), F.when(valid, F.xxhash64(x)).alias("h1"), F.when(valid, F.xxhash64(F.lit(1), x)).alias("h2"))
+    classes = rows.where("embedding is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
     index = Index(np.zeros((0, 0))) if exact else fit(classes, classes.count(), threshold, pivots, recall=recall)
     alive = cut(_survivors(cut(_posted(classes, index)), index, list_rows))
@@ -317,9 +322,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, pivots: int | No
     named = (
         classes.join(gained, "cls", "left")
         .join(labels, "id", "left")
-        .select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    return rows.join(named, "embedding", "left").select(
+    return rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),

@@ -15,10 +15,13 @@ from tidemark.llm.exchange import (
     NO_ID,
     Distinct,
     answer,
-    bucket_bounds,
+    bucket_slices,
     chunked,
+    compressed,
+    expanded,
+    pair_lookup,
+    pair_runs,
     receive,
-    runs,
     send,
     send_again,
     shared_hashes,
@@ -30,6 +33,9 @@ CHUNK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<begin:int,end:int>>"
 
 
+_FACTORS = (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)
+
+
 class _Words:
     """The words of a chunk's documents, end to end."""
 
@@ -38,7 +44,9 @@ class _Words:
         self.words = [words_of(t.as_py()) for t in rows.column("text")]
         self.ends = np.cumsum([len(w) for w in self.words], dtype=np.int64)
         self.n = int(self.ends[-1]) if len(self.ends) else 0
-        self.hash = np.fromiter((xxhash.xxh64_intdigest(x) for w in self.words for x in w), dtype=np.uint64, count=self.n)
+        digests = b"".join([xxhash.xxh3_128_digest(x) for w in self.words for x in w])
+        #: Two 64-bit lanes of each word's hash.
+        self.hash = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2).T.copy()
         lengths = np.diff(self.ends, prepend=0)
         self.row = np.repeat(np.arange(len(lengths)), lengths)
         self.id = np.array([NO_ID if i is None else i for i in self.doc_ids], dtype=np.int64)
@@ -49,14 +57,14 @@ class _Words:
         """Where k words of one document begin."""
         return np.nonzero(self.left >= k)[0]
 
-    def rolling(self, k: int) -> np.ndarray:
-        """A hash of the k words from each start."""
+    def rolling(self, k: int, lane: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+        """A lane of the hash of the k words from each start, or from the given ones."""
         n = max(0, self.n - k + 1)
-        out = np.zeros(n, dtype=np.uint64)
+        out = np.zeros(n if at is None else len(at), dtype=np.uint64)
         for p in range(k):
-            out *= np.uint64(0xC2B2AE3D27D4EB4F)
-            out += self.hash[p : p + n]
-        return mix64(out)[self.starts(k)] if n else out
+            out *= np.uint64(_FACTORS[lane])
+            out += self.hash[lane, p : p + n] if at is None else self.hash[lane, at + p]
+        return mix64(out) if at is not None else mix64(out)[self.starts(k)] if n else out
 
 
 def _anchors(own: _Words, block: int) -> Distinct:
@@ -78,7 +86,7 @@ def deduplicate_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
     (window + 1) / 2 words that start a document's every such many words are the index; all rolling
     windows of that length probe it. (2) Around hits in another document the windows of full length
     are looked up with the smallest doc_id that holds each: neighbouring ones make up the maximal
-    exact repeat. (3) Words are removed. Full windows are told apart by 64 bits of hash.
+    exact repeat. (3) Words are removed. Words and full windows are told apart by 128 bits of hash.
     """
     block = (window + 1) // 2
     rows, buckets = chunked(docs, chunk_bytes)
@@ -90,48 +98,53 @@ def deduplicate_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
         own = _Words(table)
         anchors = _anchors(own, block)
         hit = np.zeros(own.n + 1, dtype=np.int64)
-        hit[own.starts(block) + 1] = anchors.unpacked(found, buckets)[anchors.of]
+        hit[own.starts(block) + 1] = anchors.unpacked(found, buckets)[anchors.of] > 0
         upto = np.cumsum(hit)
         at = own.starts(window)
         # Blocks that start in the first window - block + 1 places lie inside the window.
         near = upto[at + window - block + 1] > upto[at]
-        h, who = own.rolling(window)[near], own.id[own.row[at[near]]]
-        order = np.lexsort((who, h))
-        h, who = h[order], who[order]
-        first = runs(h)
+        at = at[near]
+        h, g, who = own.rolling(window, 0, at), own.rolling(window, 1, at), own.id[own.row[at]]
+        order = np.lexsort((who, g, h))
+        h, g, who = h[order], g[order], who[order]
+        first = pair_runs(h, g)
         if not len(first):
             return
         last = np.append(first[1:], len(h)) - 1
-        h, least, most = h[first], who[first], who[last]
-        bounds = bucket_bounds(h, buckets)
-        for b in range(buckets):
-            lo, hi = bounds[b], bounds[b + 1]
-            if hi > lo:
-                yield b, h[lo:hi].tobytes() + least[lo:hi].tobytes() + most[lo:hi].tobytes()
+        h, g, least, most = h[first], g[first], who[first], who[last]
+        for b, lo, hi in bucket_slices(h, buckets):
+            yield b, np.int64(hi - lo).tobytes() + h[lo:hi].tobytes() + g[lo:hi].tobytes() + compressed(least[lo:hi], most[lo:hi] - least[lo:hi])
 
     def smallest(blobs: list[bytes]) -> list[bytes | None]:
-        sizes = [len(b) // 24 for b in blobs]
-        h, least, most = (np.concatenate([np.frombuffer(b, dtype=kind, count=n, offset=8 * n * k) for b, n in zip(blobs, sizes, strict=True)]) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
-        order = np.argsort(h, kind="stable")
-        starts = runs(h[order])
+        sizes = [int(np.frombuffer(b, dtype=np.int64, count=1)[0]) for b in blobs]
+        ids = [np.frombuffer(expanded(b[8 + 16 * n :]), dtype=np.int64).reshape(2, -1) for b, n in zip(blobs, sizes, strict=True)]
+        h, g = (np.concatenate([np.frombuffer(b, dtype=np.uint64, count=n, offset=8 + 8 * n * k) for b, n in zip(blobs, sizes, strict=True)]) for k in (0, 1))
+        least = np.concatenate([x[0] for x in ids])
+        most = least + np.concatenate([x[1] for x in ids])
+        order = np.lexsort((g, h))
+        starts = pair_runs(h[order], g[order])
         low = np.empty(len(h), dtype=np.int64)
         low[order] = np.repeat(np.minimum.reduceat(least[order], starts), np.diff(np.append(starts, len(h))))
         useful = low < most
         out: list[bytes | None] = []
         for e, n in zip(np.cumsum(sizes), sizes, strict=True):
             use = np.nonzero(useful[e - n : e])[0] + e - n
-            out.append(h[use].tobytes() + low[use].tobytes() if len(use) else None)
+            out.append(h[use].tobytes() + g[use].tobytes() + low[use].tobytes() if len(use) else None)
         return out
 
     def remove(table: pa.Table, found: list[bytes]) -> pa.Table:
         own = _Words(table)
         gone = np.zeros(own.n + 1, dtype=np.int64)
         if found:
-            h = np.concatenate([np.frombuffer(f, dtype=np.uint64, count=len(f) // 16) for f in found])
-            low = np.concatenate([np.frombuffer(f, dtype=np.int64, offset=len(f) // 2) for f in found])
-            at, mine = own.starts(window), own.rolling(window)
-            k = np.minimum(np.searchsorted(h, mine), len(h) - 1)
-            drop = at[(h[k] == mine) & (low[k] < own.id[own.row[at]]) & (own.id[own.row[at]] != NO_ID)]
+            parts = [np.frombuffer(f, dtype=np.uint64).reshape(3, -1) for f in found]
+            h, g, low = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            at = own.starts(window)
+            mine = own.rolling(window)
+            some = np.nonzero(h[np.minimum(np.searchsorted(h, mine), len(h) - 1)] == mine)[0]
+            at, mine = at[some], mine[some]
+            k = pair_lookup(h, g, mine, own.rolling(window, 1, at))
+            who = own.id[own.row[at]]
+            drop = at[(k >= 0) & (low.astype(np.int64)[k] < who) & (who != NO_ID)]
             gone[drop] += 1
             np.subtract.at(gone, drop + window, 1)
         covered = np.cumsum(gone)[: own.n] > 0

@@ -27,7 +27,8 @@ def chunked(docs: DataFrame, chunk_bytes: int, keep: tuple[str, ...] = (), bucke
     _, total = text_bytes(docs)
     chunks = chunk_count(total, chunk_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    # The input's partition is part of the hash, so rows repeated without end aren't one chunk.
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)))
     return rows.repartition(shuffle_partitions(docs.sparkSession), "chunk"), max(4, round(chunks * buckets_per_chunk))
 
 
@@ -81,10 +82,22 @@ def _table(rows: Iterator[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["bucket", "chunk", "data"])
 
 
-def bucket_bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ends of the buckets' ranges in ascending hashes; bucket b is bounds[b] to bounds[b + 1]."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges, "left"), [len(hashes)]])
+def bucket_slices(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the ranges of ascending hashes that have any: a bucket is an even part
+    of the hash space, and work is by what is there, not by how many buckets there are."""
+    number = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    starts = runs(number)
+    ends = np.append(starts[1:], len(hashes))[: len(starts)]
+    return list(zip(number[starts].astype(np.int64).tolist(), starts.tolist(), ends.tolist(), strict=True))
+
+
+def compressed(*arrays: np.ndarray) -> bytes:
+    data = b"".join(a.tobytes() for a in arrays)
+    return np.int64(len(data)).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expanded(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, dtype=np.int64, count=1)[0]), codec="zstd", asbytes=True)
 
 
 def runs(ordered: np.ndarray) -> np.ndarray:
@@ -107,29 +120,31 @@ class Distinct:
         if len(starts):
             own = owner[order]
             self.shared = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+            self.count = np.diff(np.append(starts, len(hashes)))
             self.flag = np.ones(len(starts), dtype=bool) if flag is None else np.logical_or.reduceat(flag[order], starts)
         else:
             self.shared = self.flag = np.zeros(0, dtype=bool)
+            self.count = np.zeros(0, dtype=np.int64)
 
     def packed(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         """Per bucket: the number of hashes, their low halves, and both flags as bits."""
-        bounds = bucket_bounds(self.hashes, buckets)
         low = (self.hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
-        for b in range(buckets):
-            lo, hi = bounds[b], bounds[b + 1]
-            if hi > lo:
-                yield b, np.int64(hi - lo).tobytes() + low[lo:hi].tobytes() + np.packbits(self.shared[lo:hi]).tobytes() + np.packbits(self.flag[lo:hi]).tobytes()
+        for b, lo, hi in bucket_slices(self.hashes, buckets):
+            yield b, np.int64(hi - lo).tobytes() + low[lo:hi].tobytes() + np.packbits(self.shared[lo:hi]).tobytes() + np.packbits(self.flag[lo:hi]).tobytes()
 
     def unpacked(self, answers: list[bytes], buckets: int) -> np.ndarray:
-        """The answered bit of each hash, in order."""
-        bounds = bucket_bounds(self.hashes, buckets)
-        sizes = [n for n in np.diff(bounds).tolist() if n]
-        parts = [np.unpackbits(np.frombuffer(a, dtype=np.uint8), count=n) for a, n in zip(answers, sizes, strict=True)]
-        return np.concatenate(parts).astype(bool) if parts else np.zeros(0, dtype=bool)
+        """The answered value of each hash, in order: 1 if it is shared, 2 if it is hot besides."""
+        sizes = [hi - lo for _, lo, hi in bucket_slices(self.hashes, buckets)]
+        parts = [np.unpackbits(np.frombuffer(a, dtype=np.uint8).reshape(-1, -(-n // 8)), axis=1, count=n).sum(axis=0) for a, n in zip(answers, sizes, strict=True)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
 
+def shared_hashes(blobs: list[bytes], hot: tuple[int, int] | None = None) -> list[bytes]:
+    """Bits of the hashes that two documents or more hold, at least one with its flag set.
 
-def shared_hashes(blobs: list[bytes]) -> list[bytes]:
-    """Bits of the hashes that two documents or more hold, at least one with its flag set."""
+    With ``hot``, (weight of an entry with its flag set, least sum), flags are no condition but
+    weigh; a second set of bits follows, of the shared hashes whose entries weigh so much.
+    """
     keys, shared, flag, sizes = [], [], [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
@@ -143,8 +158,37 @@ def shared_hashes(blobs: list[bytes]) -> list[bytes]:
     starts = runs(key[order])
     many = np.diff(np.append(starts, len(key)))
     hit = (many > 1) | np.maximum.reduceat(np.concatenate(shared)[order], starts).astype(bool)
-    hit &= np.maximum.reduceat(np.concatenate(flag)[order], starts).astype(bool)
-    bit = np.empty(len(key), dtype=bool)
-    bit[order] = np.repeat(hit, many)
-    ends = np.cumsum(sizes)
-    return [np.packbits(bit[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
+    flagged = np.concatenate(flag)[order]
+    found = [hit]
+    if hot is None:
+        hit &= np.maximum.reduceat(flagged, starts).astype(bool)
+    else:
+        found.append(hit & (many + (hot[0] - 1) * np.add.reduceat(flagged, starts, dtype=np.int64) >= hot[1]))
+    out = [b""] * len(sizes)
+    for values in found:
+        bit = np.empty(len(key), dtype=bool)
+        bit[order] = np.repeat(values, many)
+        out = [o + np.packbits(bit[e - n : e]).tobytes() for o, e, n in zip(out, np.cumsum(sizes), sizes, strict=True)]
+    return out
+
+
+def pair_runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal pairs."""
+    if not len(h):
+        return np.zeros(0, dtype=np.int64)
+    return np.concatenate([[0], np.nonzero((h[1:] != h[:-1]) | (g[1:] != g[:-1]))[0] + 1])
+
+
+def pair_lookup(h: np.ndarray, g: np.ndarray, mine: np.ndarray, also: np.ndarray) -> np.ndarray:
+    """Places of the pairs (mine, also) among pairs (h, g) that ascend by h; -1 where there is none."""
+    at = np.searchsorted(h, mine, "left")
+    out = np.full(len(mine), -1, dtype=np.int64)
+    left = np.nonzero(at < len(h))[0]
+    while len(left):
+        left = left[(at[left] < len(h))]
+        left = left[h[at[left]] == mine[left]]
+        same = g[at[left]] == also[left]
+        out[left[same]] = at[left[same]]
+        left = left[~same]
+        at[left] += 1
+    return out

@@ -5,45 +5,53 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.folds import folded
 from tidemark.functions.windows import SYMBOL, change, rolling
 
 
+class Wilder:
+    """Relative strength by Wilder's averages, bar by bar; the first ``length`` values are NaN."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.steps, self.close = length, 0, float("nan")
+        self.gain = self.loss = 0.0
+        self.begun = False
+
+    def __call__(self, close: np.ndarray) -> tuple[np.ndarray]:
+        out = np.full(len(close), np.nan)
+        n = self.length
+        for t, c in enumerate(close.tolist()):
+            if self.begun:
+                step = c - self.close
+                gain, loss = (step, 0.0) if step > 0 else (0.0, -step) if step < 0 else (0.0, 0.0)
+                self.steps += 1
+                if self.steps <= n:
+                    self.gain += gain
+                    self.loss += loss
+                    if self.steps == n:
+                        self.gain, self.loss = self.gain / n, self.loss / n
+                else:
+                    self.gain = (self.gain * (n - 1) + gain) / n
+                    self.loss = (self.loss * (n - 1) + loss) / n
+                if self.steps >= n:
+                    both = self.gain + self.loss
+                    out[t] = 100 * self.gain / both if both else 0.0
+            self.begun, self.close = True, c
+        return (out,)
+
+
 def wilder_rsi(close: np.ndarray, length: int) -> np.ndarray:
-    """Relative strength by Wilder's averages; the first ``length`` values are NaN."""
-    out = np.full(len(close), np.nan)
-    if len(close) <= length:
-        return out
-    step = np.diff(close)
-    gains, losses = np.where(step > 0, step, 0.0), np.where(step < 0, -step, 0.0)
-    gain = loss = 0.0
-    for g, d in zip(gains[:length], losses[:length], strict=True):
-        gain += g
-        loss += d
-    gain, loss = gain / length, loss / length
-    out[length] = 100 * gain / (gain + loss) if gain + loss else 0.0
-    for t in range(length, len(step)):
-        gain = (gain * (length - 1) + gains[t]) / length
-        loss = (loss * (length - 1) + losses[t]) / length
-        out[t + 1] = 100 * gain / (gain + loss) if gain + loss else 0.0
-    return out
+    """The indicator of one series."""
+    return Wilder(length)(np.asarray(close, dtype=float))[0]
 
 
 def with_rsi(bars: DataFrame, length: int, name: str = "rsi", keys: Sequence[str] = SYMBOL) -> DataFrame:
     """Adds the indicator. The average carries state over all earlier bars, so it is folded per symbol."""
-    bars = bars.drop(name)
-    schema = T.StructType([*bars.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
-        values = wilder_rsi(group["close"].to_numpy(dtype=float), length)
-        return group.assign(**{name: pd.array(np.where(np.isnan(values), None, values), dtype="Float64")})
-
-    return bars.groupBy(*keys).applyInPandas(fold, schema)
+    return folded(bars, {name: T.DoubleType()}, ["close"], lambda: Wilder(length), keys)
 
 
 def stochastic(high: Column, low: Column, close: Column, fast: int, keys: Sequence[str] = SYMBOL) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -92,12 +92,18 @@ def periods(curve: DataFrame, split: str | Column | None) -> DataFrame:
     return curve.withColumn("period", F.explode(F.array_compact(label)))
 
 
-def outcomes(curve: DataFrame, unit: str, keys: list[str]) -> DataFrame:
-    """<unit>s_won, _lost, _flat: changes of the last equity of each calendar unit that has any."""
-    last = curve.groupBy(*keys, F.date_trunc(unit, "ts").alias("unit")).agg(F.max_by("equity", "ts").alias("e"))
-    step = last.withColumn("d", F.col("e") - F.lag("e").over(Window.partitionBy(*keys).orderBy("unit")))
-    count = lambda c: F.count_if(c).cast("long")
-    return step.groupBy(*keys).agg(count(F.col("d") > 0).alias(f"{unit}s_won"), count(F.col("d") < 0).alias(f"{unit}s_lost"), count(F.col("d") == 0).alias(f"{unit}s_flat"))
+UNITS = ("day", "week", "month")
+
+
+def outcomes(curve: DataFrame, units: str | Sequence[str], keys: list[str]) -> DataFrame:
+    """<unit>s_won, _lost, _flat: changes of the last equity of each calendar unit that has any; all
+    units in one pass."""
+    units = (units,) if isinstance(units, str) else tuple(units)
+    each = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.date_trunc(u, "ts").alias("begin")) for u in units]))
+    last = curve.select(*keys, "ts", "equity", each.alias("u")).groupBy(*keys, "u").agg(F.max_by("equity", "ts").alias("e"))
+    step = last.withColumn("d", F.col("e") - F.lag("e").over(Window.partitionBy(*keys, "u.unit").orderBy("u.begin")))
+    signs = {"won": F.col("d") > 0, "lost": F.col("d") < 0, "flat": F.col("d") == 0}
+    return step.groupBy(*keys).agg(*[F.count_if((F.col("u.unit") == u) & c).cast("long").alias(f"{u}s_{n}") for u in units for n, c in signs.items()])
 
 
 def elapsed_years(first: Column, last: Column) -> Column:

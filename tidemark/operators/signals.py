@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.folds import folded
 from tidemark.functions.windows import SYMBOL, bar_window, flag
 
 
@@ -47,58 +48,91 @@ def with_divergence(bars: DataFrame, direction: str, first: tuple[int, int], sec
     w = bar_window(keys)
     marked = with_joint_extreme(bars, *first, high, "_anchor", keys=keys)
     marked = with_joint_extreme(marked, *second, high, "_trigger", keys=keys)
-    found = marked.where("_trigger").select(*keys, "ts", "rn", "close", "rsi", "_anchor")
-    found = found.withColumn("_p", F.lag(F.struct("rn", "close", "rsi", "_anchor")).over(w))
+    here = F.when(F.col("_trigger"), F.struct("rn", "close", "rsi", "_anchor"))
+    marked = marked.withColumn("_p", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     p = F.col("_p")
     apart = (p["close"] < F.col("close")) & (p["rsi"] > F.col("rsi")) if high else (p["close"] > F.col("close")) & (p["rsi"] < F.col("rsi"))
-    known = F.greatest(p["rn"] + F.lit(first[1]), F.col("rn") + F.lit(second[1]))
-    hits = found.where(p["_anchor"] & (F.col("rn") - p["rn"] < expiration) & apart).select(*keys, known.alias("rn")).distinct()
-    name = f"divergence_{direction}"
-    flagged = marked.drop("_anchor", "_trigger").join(hits.withColumn(name, F.lit(True)), [*keys, "rn"], "left")
-    return flagged.withColumn(name, flag(F.col(name)))
+    hit = F.col("_trigger") & p["_anchor"] & (F.col("rn") - p["rn"] < expiration) & apart
+    # Bars from the trigger to where both extremes are known; the anchor lies before the trigger.
+    marked = marked.withColumn("_wait", F.when(hit, F.greatest(p["rn"] + F.lit(first[1]) - F.col("rn"), F.lit(second[1]))))
+    waits = range(second[1], max(second[1], first[1] - 1) + 1)
+    known = [flag(F.lag("_wait", n).over(w) == n) for n in waits]
+    return marked.withColumn(f"divergence_{direction}", reduce(lambda a, b: a | b, known)).drop("_anchor", "_trigger", "_p", "_wait")
 
 
-def crossovers(k: np.ndarray, d: np.ndarray, long: bool, threshold: float, flexible: bool, value: float, expiration: int) -> np.ndarray:
+class Crossover:
     """Bars where a pending watch fires; unknown values compare false.
 
     A watch arms while %K is past the threshold, dies ``expiration`` bars later, and fires once %K
     has crossed %D and reached the level, which is absolute or relative to %K at arming. A bar on
     which a watch dies arms no other.
     """
-    out = np.zeros(len(k), dtype=bool)
-    side = 1.0 if long else -1.0
-    bound, level = (threshold, value) if long else (100 - threshold, 100 - value)
-    since, base = None, 0.0
-    for t in range(len(k)):
-        if since is None:
-            if side * k[t] < side * bound:
-                since, base = t, k[t]
-        elif t - since >= expiration:
-            since = None
-        if since is not None:
-            reached = side * k[t] > side * (base + side * value if flexible else level)
-            if reached and side * k[t] > side * d[t]:
-                out[t], since = True, None
-    return out
+
+    def __init__(self, long: bool, threshold: float, flexible: bool, value: float, expiration: int) -> None:
+        self.side = 1.0 if long else -1.0
+        self.bound, self.level = (threshold, value) if long else (100 - threshold, 100 - value)
+        self.flexible, self.value, self.expiration = flexible, value, expiration
+        self.t, self.since, self.base = 0, None, 0.0
+
+    def __call__(self, k: np.ndarray, d: np.ndarray) -> tuple[np.ndarray]:
+        out = np.zeros(len(k), dtype=bool)
+        side = self.side
+        for at, (x, y) in enumerate(zip(k.tolist(), d.tolist(), strict=True)):
+            if self.since is None:
+                if side * x < side * self.bound:
+                    self.since, self.base = self.t, x
+            elif self.t - self.since >= self.expiration:
+                self.since = None
+            if self.since is not None:
+                reached = side * x > side * (self.base + side * self.value if self.flexible else self.level)
+                if reached and side * x > side * y:
+                    out[at], self.since = True, None
+            self.t += 1
+        return (out,)
+
+
+def crossovers(k: np.ndarray, d: np.ndarray, long: bool, threshold: float, flexible: bool, value: float, expiration: int) -> np.ndarray:
+    """The firing bars of one series."""
+    return Crossover(long, threshold, flexible, value, expiration)(np.asarray(k, dtype=float), np.asarray(d, dtype=float))[0]
 
 
 def with_crossover(bars: DataFrame, direction: str, threshold: float = 50.0, flexible: bool = True, value: float = 10.0, expiration: int = 10, keys: Sequence[str] = SYMBOL) -> DataFrame:
     """stochastic_crossover_<direction>, an automaton folded over each symbol's bars."""
-    name = f"stochastic_crossover_{direction}"
-    bars = bars.drop(name)
-    schema = T.StructType([*bars.schema.fields, T.StructField(name, T.BooleanType())])
-    keep = {f.name: f.dataType for f in bars.schema.fields}
+    return with_crossovers(bars, (direction,), threshold, flexible, value, expiration, keys)
+
+
+def with_crossovers(bars: DataFrame, directions: Sequence[str], threshold: float = 50.0, flexible: bool = True, value: float = 10.0, expiration: int = 10, keys: Sequence[str] = SYMBOL) -> DataFrame:
+    """Crossovers of several directions in one fold."""
+
+    def start() -> Callable:
+        watches = [Crossover(d == "long", threshold, flexible, value, expiration) for d in directions]
+        return lambda k, d: [w(k, d)[0] for w in watches]
+
+    return folded(bars, {f"stochastic_crossover_{d}": T.BooleanType() for d in directions}, ["stoch_k", "stoch_d"], start, keys)
+
+
+class Levels:
+    """Standing highs and lows, and their ascending prices on the bars that ask."""
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
-        k, d = (group[c].to_numpy(dtype=float) for c in ("stoch_k", "stoch_d"))
-        out = group.assign(**{name: crossovers(k, d, direction == "long", threshold, flexible, value, expiration)})
-        for c, kind in keep.items():
-            if isinstance(kind, T.DoubleType):
-                out[c] = out[c].astype("Float64").where(out[c].notna(), pd.NA)
-        return out
+    def __init__(self) -> None:
+        self.highs: list[float] = []
+        self.lows: list[float] = []
 
-    return bars.groupBy(*keys).applyInPandas(fold, schema)
+    def __call__(self, highs: np.ndarray, lows: np.ndarray, ask: np.ndarray) -> tuple[list[list[float]]]:
+        out: list[list[float]] = [[]] * len(ask)
+        for at in np.nonzero(ask.astype(bool) | ~np.isnan(highs) | ~np.isnan(lows))[0].tolist():
+            hi, lo = float(highs[at]), float(lows[at])
+            if hi == hi:
+                while self.highs and self.highs[-1] <= hi:
+                    self.highs.pop()
+                self.highs.append(hi)
+            if lo == lo:
+                while self.lows and self.lows[-1] >= lo:
+                    self.lows.pop()
+                self.lows.append(lo)
+            if ask[at]:
+                out[at] = sorted(self.highs + self.lows)
+        return (out,)
 
 
 def with_levels(bars: DataFrame, before: int = 8, after: int = 8, at: Column | None = None, keys: Sequence[str] = SYMBOL) -> DataFrame:
@@ -106,34 +140,11 @@ def with_levels(bars: DataFrame, before: int = 8, after: int = 8, at: Column | N
 
     A high stands until a later one is as high or higher, a low until one is as low or lower.
     ``at`` restricts the work to rows that will read the levels (buy bars do); others get none.
-    Only confirmed swings and asking rows reach the fold, which is linear in them.
+    The fold is linear in the confirmed swings and the asking rows.
     """
     marked = with_swing(with_swing(bars, "high", before, after, True, "_hi", keys), "low", before, after, False, "_lo", keys)
-    sparse = marked.withColumn("_ask", flag(F.lit(True) if at is None else at)).where("_ask or _hi is not null or _lo is not null").select(*keys, "rn", "_hi", "_lo", "_ask")
-    kinds = {f.name: f.dataType for f in bars.schema.fields}
-    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField("rn", T.IntegerType()), T.StructField("support_resistance_levels", T.ArrayType(T.DoubleType()))])
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        highs: list[float] = []
-        lows: list[float] = []
-        rows, levels = [], []
-        for rn, hi, lo, ask in group.sort_values("rn")[["rn", "_hi", "_lo", "_ask"]].itertuples(index=False):
-            if not pd.isna(hi):
-                while highs and highs[-1] <= hi:
-                    highs.pop()
-                highs.append(hi)
-            if not pd.isna(lo):
-                while lows and lows[-1] >= lo:
-                    lows.pop()
-                lows.append(lo)
-            if ask:
-                rows.append(rn)
-                levels.append(sorted(highs + lows))
-        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "rn": pd.Series(rows, dtype="int32"), "support_resistance_levels": pd.Series(levels, dtype=object)}, columns=[*keys, "rn", "support_resistance_levels"])
-
-    found = sparse.groupBy(*keys).applyInPandas(fold, schema)
-    out = bars.drop("support_resistance_levels").join(found, [*keys, "rn"], "left")
-    return out.withColumn("support_resistance_levels", F.coalesce("support_resistance_levels", F.array().cast("array<double>")))
+    marked = marked.withColumn("_ask", flag(F.lit(True) if at is None else at))
+    return folded(marked, {"support_resistance_levels": T.ArrayType(T.DoubleType())}, ["_hi", "_lo", "_ask"], Levels, keys).drop("_hi", "_lo", "_ask")
 
 
 def before_here(keys: Sequence[str] = SYMBOL):

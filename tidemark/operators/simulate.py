@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change
@@ -73,29 +73,50 @@ def held_correlations(events: DataFrame, bars: DataFrame, lookback: int) -> Data
     A symbol may be held from a buy to its next sell on a later bar (a sell on the same bar comes
     before the buy). Correlation is Pearson's over the last ``lookback`` rows of the calendar of all
     symbols, up to the event's own; rows where either return is unknown are left out, and a pair
-    with fewer than two rows or no variance has none. Only pairs that meet are computed.
+    with fewer than two rows or no variance has none. Only pairs that meet are computed, each from
+    two gathered rows of returns.
     """
     numbered = calendar(bars)
     returns = bars.withColumn("ret", change(F.col("close"))).join(numbered, "ts").select("symbol", "at", "ret")
     buys = events.where("kind = 'buy'")
-    later = events.where("kind = 'sell'").select("combo_id", "symbol", F.col("ts").alias("sold"))
-    spans = buys.join(later, ["combo_id", "symbol"], "left").where(F.col("sold").isNull() | (F.col("sold") > F.col("ts")))
-    spans = spans.groupBy("combo_id", "symbol", "ts").agg(F.min("sold").alias("until"))
     # A buy whose every sell is on its own bar, or earlier, stays open.
-    spans = buys.select("combo_id", "symbol", "ts").join(spans, ["combo_id", "symbol", "ts"], "left")
+    times = events.groupBy("combo_id", "symbol", "ts").agg(F.max(F.when(F.col("kind") == "sell", F.col("ts"))).alias("sold"), F.max(F.col("kind") == "buy").alias("bought"))
+    after = Window.partitionBy("combo_id", "symbol").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    spans = times.withColumn("until", F.first("sold", ignorenulls=True).over(after)).where("bought")
     open_ = spread(spans.select("combo_id", F.col("symbol").alias("other"), F.col("ts").alias("bought"), F.col("until")), numbered, "bought", "until")
     met = buys.select("combo_id", "symbol", "ts").join(open_.select("combo_id", "other", "ts"), ["combo_id", "ts"]).where("symbol <> other").distinct()
     pairs = met.select("symbol", "other", "ts").distinct().join(numbered, "ts")
-    steps = pairs.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - (lookback - 1)), F.col("at"))))
-    x = returns.select(F.col("symbol"), "at", F.col("ret").alias("x"))
-    y = returns.select(F.col("symbol").alias("other"), "at", F.col("ret").alias("y"))
-    both = steps.join(x, ["symbol", "at"]).join(y, ["other", "at"]).where("x is not null and y is not null")
-    corr = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
-    values = both.groupBy("symbol", "other", "ts").agg(corr.alias("c")).where("c is not null")
+    # A symbol's returns are gathered once for each time that asks for them, whatever pairs it is in.
+    asked = pairs.select(F.explode(F.array("symbol", "other")).alias("symbol"), "at").distinct()
+    rows = returns.where("ret is not null").withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True)), allowMissingColumns=True)
+    span = Window.partitionBy("symbol").orderBy("at").rangeBetween(-(lookback - 1), 0)
+    recent = rows.withColumn("known", F.collect_list(F.when(~F.col("ask"), F.struct("at", "ret"))).over(span)).where("ask").select("symbol", "at", F.map_from_entries("known").alias("known"))
+    x = recent.select("symbol", "at", F.col("known").alias("x"))
+    y = recent.select(F.col("symbol").alias("other"), "at", F.col("known").alias("y"))
+    both = pairs.join(x, ["symbol", "at"]).join(y, ["other", "at"])
+    shared = F.filter(F.map_keys("x"), lambda k: F.map_contains_key("y", k))
+    both = both.select("symbol", "other", "ts", F.transform(shared, lambda k: F.element_at("x", k)).alias("x"), F.transform(shared, lambda k: F.element_at("y", k)).alias("y"))
+    values = both.select("symbol", "other", "ts", pearson("x", "y").alias("c")).where("c is not null")
     found = met.join(values, ["symbol", "other", "ts"]).groupBy("combo_id", "symbol", "ts")
     return found.agg(F.map_from_entries(F.collect_list(F.struct("other", "c"))).alias("correlations"))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two array columns of equal length; null under two values or without variance."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mx", "my", "xx", "yy", "xy")])
+
+    def step(a: Column, v: Column) -> Column:
+        n = a["n"] + 1
+        dx, dy = v["p"] - a["mx"], v["q"] - a["my"]
+        mx, my = a["mx"] + dx / n, a["my"] + dy / n
+        return F.struct(
+            n.alias("n"), mx.alias("mx"), my.alias("my"), (a["xx"] + dx * (v["p"] - mx)).alias("xx"), (a["yy"] + dy * (v["q"] - my)).alias("yy"), (a["xy"] + dx * (v["q"] - my)).alias("xy")
+        )
+
+    both = F.zip_with(x, y, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.aggregate(both, zero, step, lambda a: F.when(a["n"] >= 2, F.try_divide(a["xy"], F.sqrt(a["xx"]) * F.sqrt(a["yy"]))))
+
+
 def simulate(events: DataFrame, sizing: DataFrame, correlations: DataFrame | None = None) -> DataFrame:
     """Run each combination's events through a portfolio; see RECORDS for what comes out.
 

@@ -299,6 +299,8 @@ round(min(o_totalprice), 6) AS low, round(last(o_totalprice ORDER BY o_orderkey)
         f"""SELECT a.symbol, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, a.so AND coalesce(a.rn - m.rn <= 10, false) AND coalesce(m.rn - m.dvrn <= 8, false) AS hit
 FROM (SELECT *, max(CASE WHEN cs THEN rn END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS csrn FROM chain) a LEFT JOIN (SELECT *, max(CASE WHEN dv THEN rn END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS dvrn FROM chain) m ON m.symbol = a.symbol AND m.rn = a.csrn""",
     ),
+    "buy_chain_divergence": (("full_long_d",), f"SELECT symbol, {_TS} AS ts, buy AS hit FROM full_long_d"),
+    "divergence_trades": (("te_d",), "SELECT symbol, rn, kind, direction, round(price, 6) AS price, seq FROM te_d"),
     "ticker_events": (("te",), "SELECT symbol, rn, kind, direction, round(price, 6) AS price, seq FROM te"),
     "held_correlations": (("corrs", "meets"), f"SELECT symbol, {_TS} AS ts, other, round(c, 6) AS c FROM corrs JOIN meets USING (symbol, ts, other) WHERE c IS NOT NULL"),
     "simulate_trades": (("t_free",), _trades("free")),
@@ -404,6 +406,13 @@ def _sharpe(of: str, period: str, rate: float = 0.04) -> str:
     return f"(SELECT ({_ANNUAL} - {rate}) / {_VOL} FROM {of} WHERE period = '{period}' AND {_KNOWN})"
 
 
+_strategy("_d", ("long",), [["indicator"], ["time"]])
+_PIECES["full_long_d"] = (
+    ("osc", "lev", "x_long", "div_long"),
+    f"""SELECT *, max(CASE WHEN buy THEN rn END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS last_buy FROM (
+SELECT osc.*, lev.above, lev.below, x.hit AND coalesce(rn - max(d.rn) OVER ({_W} ROWS UNBOUNDED PRECEDING) <= 10, false) AS buy
+FROM osc JOIN lev USING (symbol, rn) JOIN x_long x USING (symbol, rn) LEFT JOIN div_long d USING (symbol, rn))""",
+)
 _strategy("_g", ("long",), [["margin"], ["time"]])
 _GRID = [(t, n) for t in (0.0, 0.1, 0.9) for n in (2, 4)]
 for _k, (_t, _n) in enumerate(_GRID):

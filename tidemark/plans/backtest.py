@@ -13,7 +13,7 @@ from tidemark.functions.indicators import with_rsi, with_stochastic
 from tidemark.operators import metrics as M
 from tidemark.operators import simulate as S
 from tidemark.operators.rules import with_buy, with_sell
-from tidemark.operators.signals import with_crossover, with_divergence, with_levels
+from tidemark.operators.signals import with_crossovers, with_divergence, with_levels
 from tidemark.plans.config import Config, GridPoint
 from tidemark.sources.bars import numbered
 from tidemark.sources.scratch import cut
@@ -29,8 +29,8 @@ def indicators(bars: DataFrame, config: Config) -> DataFrame:
 def signals(bars: DataFrame, config: Config) -> DataFrame:
     """Adds a divergence and a crossover flag for each direction."""
     e, c = config.extrema, config.stochastic_crossover
+    bars = with_crossovers(bars, sorted(config.directions), c.extreme_threshold, c.cross_level.flexible, c.cross_level.value, c.expiration_bars)
     for d in sorted(config.directions):
-        bars = with_crossover(bars, d, c.extreme_threshold, c.cross_level.flexible, c.cross_level.value, c.expiration_bars)
         bars = with_divergence(bars, d, (e.divergence_first.before, e.divergence_first.after), (e.divergence_second.before, e.divergence_second.after), config.divergence.expiration_bars)
     return bars
 
@@ -137,10 +137,7 @@ def report(records: DataFrame, curve: DataFrame, benchmark: DataFrame | None, se
     keys = ["combo_id", "period"]
 
     def figures(rows: DataFrame) -> DataFrame:
-        stats = M.risk(rows, keys, "risk_free")
-        for unit in ("day", "week", "month"):
-            stats = stats.join(M.outcomes(rows, unit, keys), keys, "left")
-        return stats
+        return M.risk(rows, keys, "risk_free").join(M.outcomes(rows, M.UNITS, keys), keys, "left")
 
     settings = F.broadcast(settings)
     model = cut(M.periods(curve.join(settings, "combo_id"), F.col("split")))

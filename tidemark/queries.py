@@ -206,6 +206,25 @@ _found["buy_chain_tied"] = _chain([["rsi_divergence", "candle sticks"]], [6])
 _found["buy_chain_triple"] = _chain([["rsi_divergence"], ["candle sticks"], ["stochastic_crossover"]], [8, 10])
 
 
+def diverging(spark: SparkSession, d: str) -> DataFrame:
+    """Bars with real divergences and the crossovers that may follow them."""
+    o = G.with_crossover(oscillators(spark, d), "long")
+    return R.with_buy(G.with_divergence(o, "long", (5, 5), (5, 1), 30), "long", [["rsi_divergence"], ["stochastic_crossover"]], [10])
+
+
+@query
+def buy_chain_divergence(spark, d):
+    return rowed(diverging(spark, d), F.col("buy_signal_long").alias("hit"))
+
+
+@query
+def divergence_trades(spark, d):
+    """Divergence, crossover, exit and trade: the events of the demo strategy's kind."""
+    o = R.with_sell(diverging(spark, d), "long", [[RSI_EXIT], [TIME]])
+    found = S.ticker_events(o.join(F.broadcast(ranks_of(o)), "symbol").withColumn("combo_id", F.lit(0)), ("long",))
+    return found.select("symbol", F.col("rn").cast("long").alias("rn"), "kind", "direction", r("price").alias("price"), F.col("seq").cast("long").alias("seq"))
+
+
 def bought(spark: SparkSession, d: str, ways=("long", "short")) -> DataFrame:
     o = oscillators(spark, d)
     for w in ways:

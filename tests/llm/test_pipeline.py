@@ -208,6 +208,20 @@ def test_each_stage_keeps_columns_and_takes_empty_tables(spark, tmp_path):
         assert stage(spark, odd, "/root/testdata/sf0.001").count() <= 3
 
 
+def test_columns_with_clashing_names(spark):
+    """Names that the operators use inside are only names of columns to carry along."""
+    names = "row h1 h2 v id _id g c0 c1 score overlaps n_words shingles chunk bucket data spans kept_text ids n_tokens short loose label part i j key".split()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in C.STAGES:
+        plain, out = stage(spark, docs, "/root/testdata/sf0.001"), stage(spark, wide, "/root/testdata/sf0.001")
+        got = out.collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted((r.doc_id, r.text) for r in plain.collect()), name
+        if name != "pieces":
+            assert out.columns == wide.columns
+            assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_run_against_brute_force(spark, sf):
     path = f"/root/testdata/{sf}"

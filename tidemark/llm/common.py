@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import shared_root
+
 #: Bytes of text that one unit of grouped Python work holds on average.
 CHUNK_BYTES = 4 << 20
 
@@ -20,14 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one is set only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    elif named is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+    """The shared folder the cluster names; a private one is made on a local master only."""
+    return shared_root(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,5 +1,4 @@
 import datetime as dt
-import sys
 
 import numpy as np
 import pandas as pd
@@ -177,7 +176,31 @@ def test_ingest_retries_and_chunks(spark, tmp_path):
     assert I.vendor_unit("3mo") == (3, "month")
 
 
-def test_command_line(spark, tmp_path):
+def test_vendor_pages(spark, tmp_path):
+    from urllib.parse import parse_qs, urlparse
+
+    from tidemark.sources.vendor import VendorBars
+
+    bar = lambda t, c: {"t": t, "o": 1, "h": 2, "l": 0.5, "c": c, "v": 10, "n": 3, "vw": 1.1}
+    pages = [{"bars": {"A": [bar("2024-01-02T10:00:00Z", 1.5)]}, "next_page_token": "x"}, {"bars": {"A": [bar("2024-01-02T11:00:00Z", 1.6)], "B": [bar("2024-01-02T10:00:00Z", 7)]}, "next_page_token": None}]
+    seen = []
+
+    def fetch(url, headers):
+        seen.append((parse_qs(urlparse(url).query), headers))
+        return pages[len(seen) - 1]
+
+    found = VendorBars("k", "s", fetch)(["A", "B"], dt.date(2024, 1, 1), dt.date(2024, 2, 1), "3mo")
+    assert found[["symbol", "close"]].values.tolist() == [["A", 1.5], ["A", 1.6], ["B", 7.0]]
+    assert seen[0][0]["timeframe"] == ["3Month"] and seen[0][0]["symbols"] == ["A,B"] and "page_token" not in seen[0][0] and seen[1][0]["page_token"] == ["x"]
+    assert seen[0][1]["APCA-API-KEY-ID"] == "k"
+    store = BarStore(spark, str(tmp_path / "v"), "1h")
+    pages[0]["next_page_token"] = None
+    seen.clear()
+    assert I.ingest(["A", "B"], dt.date(2024, 1, 1), dt.date(2024, 2, 1), store, VendorBars("k", "s", fetch)) == ["A"]
+    assert VendorBars("k", "s", lambda u, h: {"bars": None})(["A"], dt.date(2024, 1, 1), dt.date(2024, 2, 1), "1h").empty
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
     text = f"data_dir: {tmp_path}/data\nuniverse: {{stock_number: 2, refresh_data: true, start_date: 2024-01-01, train_test_split_date: 2024-01-03, end_date: 2024-02-01}}\nrisk: {{monte_carlo_paths: 50, holding_period_hours: 40}}\ngrid: {{rsi_length: [5], strategy: [range_scalp_divergence], position_sizing.correlation_reject_threshold: [0, 1]}}\n"
     listing = lambda: {"0": {"ticker": "AA"}, "1": {"ticker": "BB"}}
     page = tmp_path / "out.html"
@@ -185,9 +208,11 @@ def test_command_line(spark, tmp_path):
     body = page.read_text()
     assert code == 0 and body.count("data-combo=") == 2 and "train Sharpe" in body and "polyline" in body
     assert "ff7f0e" in body  # the benchmark's line
-    with pytest.raises(RuntimeError, match="--downloader"):
+    for name in ("ALPACA_API_KEY", "ALPACA_SECRET_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    with pytest.raises(RuntimeError, match="to download"):
         cli.main(["--config", str(write(tmp_path, text))], spark, None, listing)
-    assert cli.plugged("tests.test_plans:prices" if "tests.test_plans" in sys.modules else f"{__name__}:prices") is not None
+    assert cli.plugged(f"{__name__}:prices") is prices
     with pytest.raises(RuntimeError, match="no bars"):
         cli.main(["--no-refresh", "--config", str(write(tmp_path, text.replace("/data", "/none")))], spark, None, listing)
 

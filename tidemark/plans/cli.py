@@ -28,16 +28,14 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--config", action="append", default=[], help="YAML file, later ones override earlier ones")
     p.add_argument("--no-refresh", action="store_true", help="never download, whatever the configuration says")
-    p.add_argument("--downloader", help="module:attribute of what downloads bars; see tidemark.sources.ingest.Downloader")
+    p.add_argument("--downloader", default="tidemark.sources.vendor:VendorBars", help="module:attribute of what downloads bars; see tidemark.sources.ingest.Downloader")
     p.add_argument("--output", default="report.html")
     p.add_argument("--log-level", default="INFO")
     return p.parse_args(argv)
 
 
-def plugged(name: str | None) -> Downloader | None:
+def plugged(name: str) -> Downloader:
     """The downloader that a "module:attribute" names; a class is made with the vendor's credentials."""
-    if name is None:
-        return None
     module, _, attribute = name.partition(":")
     found = getattr(importlib.import_module(module), attribute or "download")
     return found(*credentials()) if isinstance(found, type) else found
@@ -51,7 +49,7 @@ def acquire(spark: SparkSession, points: list[GridPoint], refresh: bool, downloa
     apart = BarStore(spark, f"{c.data_dir}/benchmarks", c.universe.candle_length)
     if refresh:
         if download is None:
-            raise RuntimeError("refreshing data needs a downloader: name one by --downloader module:attribute")
+            raise RuntimeError("refreshing data needs a downloader")
         ingest(symbols, c.universe.start_date, c.universe.end_date, store, download)
         ingest([BENCHMARK], c.universe.start_date, c.universe.end_date, apart, download)
     ranks = spark.createDataFrame([(s, i) for i, s in enumerate(symbols)], "symbol string, universe_rank int")

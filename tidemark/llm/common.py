@@ -97,6 +97,25 @@ class UnionFind:
         return True
 
 
+def flat_labels(label: np.ndarray) -> np.ndarray:
+    """Each label's root."""
+    while (up := label[label]).tobytes() != label.tobytes():
+        label = up
+    return label
+
+
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Hook the larger root under the smaller one until each pair (i, j) has one root."""
+    while len(i):
+        label[:] = flat_labels(label)
+        p, q = label[i], label[j]
+        apart = p != q
+        if not apart.any():
+            return
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit lanes."""
     x = x ^ (x >> np.uint64(31))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cell_tables, cells, cut, releasing
+from tidemark.llm.common import cell_tables, cells, cut, flat_labels, join_labels, releasing
 from tidemark.llm.components import connected_components
 
 #: Pivots of a small table and of the largest ones; between them about the root of the rows.
@@ -262,8 +262,8 @@ def _linked(rows: DataFrame, threshold: float, index: Index) -> DataFrame:
             for p, q, home in verified(a, b, key, threshold, index):
                 na += np.bincount(p[home], weights=b.copies[q[home]], minlength=len(na)).astype(np.int64)
                 nb += np.bincount(q[home], weights=a.copies[p[home]], minlength=len(nb)).astype(np.int64)
-                _join(label, p, q + shift)
-            root = ids[_flat(label)]
+                join_labels(label, p, q + shift)
+            root = ids[flat_labels(label)]
             apart = root != ids
             for names, columns in ((("cls", "n"), (np.concatenate([a.cls[na > 0], b.cls[nb > 0]]), np.concatenate([na[na > 0], nb[nb > 0]]))), (("a", "b"), (ids[apart], root[apart]))):
                 if len(columns[0]):
@@ -273,24 +273,6 @@ def _linked(rows: DataFrame, threshold: float, index: Index) -> DataFrame:
     return rows.mapInArrow(releasing(run), "cls long, n long, a long, b long")
 
 
-def _flat(label: np.ndarray) -> np.ndarray:
-    while (up := label[label]).tobytes() != label.tobytes():
-        label = up
-    return label
-
-
-def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Hook the larger root under the smaller one until each pair has one root."""
-    while len(i):
-        label[:] = _flat(label)
-        p, q = label[i], label[j]
-        apart = p != q
-        if not apart.any():
-            return
-        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
-        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-
-
 def embedding_links(vectors: DataFrame, threshold: float = 0.9, pivots: int | None = None, list_rows: int = LIST_ROWS, recall: float = RECALL, exact: bool = False) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding)``.
 

@@ -136,7 +136,7 @@ def sampled_shards(tables: int, sample: int, bits: int, seed: int = 7) -> list[l
 def sample_plan(rows: int) -> tuple[int, int]:
     """(tables, bits of a sample) for so many fingerprints: a longer sample keeps shards small, and
     more tables keep the chance that a pair of similarity 0.8 shares one."""
-    more = max(0, (rows >> 22).bit_length())
+    more = (rows >> 19).bit_length()
     return -int(-TABLES // 0.85**more), SAMPLE + more
 
 
@@ -232,8 +232,8 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
 #: For near-duplicates by shingles: 64-bit lanes that shards sample, and those that trees hold; tables
 #: of sampled bits and bits of a sample; and the radius within which pairs are verified. At a
 #: similarity of 0.8 a pair differs in 15 of 100 bits on average, give or take 2, so that 64 samples
-#: of 16 bits find it with a chance of 0.98 or so.
-LANES, TREE_LANES, TABLES, SAMPLE, RADIUS = 4, 2, 64, 16, 40
+#: of 12 bits miss about one such pair in 1,000 (16 bits: one in 50).
+LANES, TREE_LANES, TABLES, SAMPLE, RADIUS = 4, 2, 64, 12, 40
 #: Texts of at most so many distinct shingles, whose fingerprints vary more, are joined exactly.
 SHORT = 64
 
@@ -351,23 +351,24 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(t.as_py(), True) for t in batch.column(1)]
-            prints = [fingerprint(w, k, LANES, distinct=True) for w in words]
-            few = pa.array([0 < len(w) and (short is None or len(set(shingles(w, k))) <= short) for w in words], pa.bool_())
+            prints, few = [], []
+            for t in batch.column(1):
+                w = words_of(t.as_py(), True)
+                prints.append(fingerprint(w, k, LANES, distinct=True))
+                few.append(bool(w) and (short is None or len(w) <= short + k - 1 or len(set(shingles(w, k))) <= short))
             parts = [pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64), pa.int64()) for i in range(LANES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], few, *parts], ["doc_id", "h1", "h2", "short", *lanes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(few, pa.bool_()), *parts], ["doc_id", "h1", "h2", "short", *lanes])
 
     prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, short boolean, " + ", ".join(f"{x} long" for x in lanes))
     texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in ("short", *lanes)])
     texts = cut(texts.withColumn("v", F.monotonically_increasing_id()))
     near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(*sample_plan(texts.count()), 64 * LANES), LANES, TREE_LANES)
-    near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = near.select(F.explode(F.array("a", "b")).alias("v")).unionByName(texts.where("short").select("v")).distinct()
+    labels = cut(connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose")))
+    needed = labels.select("v").unionByName(texts.where("short").select("v")).distinct()
     wanted = texts.join(needed, "v", "left_semi").select("v", "id", "h1", "h2")
     # One row for each text: the one that gave the id. Repeated rows of it have equal sets.
     rows = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
     sets = cut(shingle_sets(rows, k).dropDuplicates(["v"]))
-    labels = connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose"))
     more = exact_links(labels.join(sets, "v").select("loose", "v", "shingles"), "loose", similarity)
     whole = more.unionByName(short_links(sets, similarity, short))
     groups = texts.join(connected_components(whole).withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))

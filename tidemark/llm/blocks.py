@@ -17,6 +17,7 @@ from tidemark.llm.exchange import (
     answer,
     bucket_slices,
     chunked,
+    column,
     compressed,
     expanded,
     pair_lookup,
@@ -36,6 +37,11 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans a
 _FACTORS = (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)
 
 
+#: Types and places, for each window, of what is sent: 96 bits of hash, least doc_id, and how far the
+#: largest one is above it.
+SENT = ((np.uint64, 0), (np.uint32, 8), (np.int64, 12), (np.int64, 20))
+
+
 class _Words:
     """The words of a chunk's documents, end to end."""
 
@@ -57,6 +63,10 @@ class _Words:
         """Where k words of one document begin."""
         return np.nonzero(self.left >= k)[0]
 
+    def further(self, k: int, at: np.ndarray) -> np.ndarray:
+        """32 more bits of the hash of the k words from the given starts."""
+        return (self.rolling(k, 1, at) >> np.uint64(32)).astype(np.uint32)
+
     def rolling(self, k: int, lane: int = 0, at: np.ndarray | None = None) -> np.ndarray:
         """A lane of the hash of the k words from each start, or from the given ones."""
         n = max(0, self.n - k + 1)
@@ -86,7 +96,8 @@ def deduplicate_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
     (window + 1) / 2 words that start a document's every such many words are the index; all rolling
     windows of that length probe it. (2) Around hits in another document the windows of full length
     are looked up with the smallest doc_id that holds each: neighbouring ones make up the maximal
-    exact repeat. (3) Words are removed. Words and full windows are told apart by 128 bits of hash.
+    exact repeat. (3) Words are removed. Words are told apart by 128
+    bits of hash, full windows by 96.
     """
     block = (window + 1) // 2
     rows, buckets = chunked(docs, chunk_bytes)
@@ -104,7 +115,7 @@ def deduplicate_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
         # Blocks that start in the first window - block + 1 places lie inside the window.
         near = upto[at + window - block + 1] > upto[at]
         at = at[near]
-        h, g, who = own.rolling(window, 0, at), own.rolling(window, 1, at), own.id[own.row[at]]
+        h, g, who = own.rolling(window, 0, at), own.further(window, at), own.id[own.row[at]]
         order = np.lexsort((who, g, h))
         h, g, who = h[order], g[order], who[order]
         first = pair_runs(h, g)
@@ -113,14 +124,13 @@ def deduplicate_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
         last = np.append(first[1:], len(h)) - 1
         h, g, least, most = h[first], g[first], who[first], who[last]
         for b, lo, hi in bucket_slices(h, buckets):
-            yield b, np.int64(hi - lo).tobytes() + h[lo:hi].tobytes() + g[lo:hi].tobytes() + compressed(least[lo:hi], most[lo:hi] - least[lo:hi])
+            yield b, np.int64(hi - lo).tobytes() + compressed(h[lo:hi], g[lo:hi], least[lo:hi], most[lo:hi] - least[lo:hi])
 
     def smallest(blobs: list[bytes]) -> list[bytes | None]:
         sizes = [int(np.frombuffer(b, dtype=np.int64, count=1)[0]) for b in blobs]
-        ids = [np.frombuffer(expanded(b[8 + 16 * n :]), dtype=np.int64).reshape(2, -1) for b, n in zip(blobs, sizes, strict=True)]
-        h, g = (np.concatenate([np.frombuffer(b, dtype=np.uint64, count=n, offset=8 + 8 * n * k) for b, n in zip(blobs, sizes, strict=True)]) for k in (0, 1))
-        least = np.concatenate([x[0] for x in ids])
-        most = least + np.concatenate([x[1] for x in ids])
+        data = [expanded(b[8:]) for b in blobs]
+        h, g, least, over = (np.concatenate([column(d, kind, n, start * n) for d, n in zip(data, sizes, strict=True)]) for kind, start in SENT)
+        most = least + over
         order = np.lexsort((g, h))
         starts = pair_runs(h[order], g[order])
         low = np.empty(len(h), dtype=np.int64)
@@ -129,22 +139,22 @@ def deduplicate_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
         out: list[bytes | None] = []
         for e, n in zip(np.cumsum(sizes), sizes, strict=True):
             use = np.nonzero(useful[e - n : e])[0] + e - n
-            out.append(h[use].tobytes() + g[use].tobytes() + low[use].tobytes() if len(use) else None)
+            out.append(np.int64(len(use)).tobytes() + compressed(h[use], g[use], low[use]) if len(use) else None)
         return out
 
     def remove(table: pa.Table, found: list[bytes]) -> pa.Table:
         own = _Words(table)
         gone = np.zeros(own.n + 1, dtype=np.int64)
         if found:
-            parts = [np.frombuffer(f, dtype=np.uint64).reshape(3, -1) for f in found]
-            h, g, low = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            parts = [(int(np.frombuffer(f, dtype=np.int64, count=1)[0]), expanded(f[8:])) for f in found]
+            h, g, low = (np.concatenate([column(d, kind, n, start * n) for n, d in parts]) for kind, start in SENT[:3])
             at = own.starts(window)
             mine = own.rolling(window)
             some = np.nonzero(h[np.minimum(np.searchsorted(h, mine), len(h) - 1)] == mine)[0]
             at, mine = at[some], mine[some]
-            k = pair_lookup(h, g, mine, own.rolling(window, 1, at))
+            k = pair_lookup(h, g, mine, own.further(window, at))
             who = own.id[own.row[at]]
-            drop = at[(k >= 0) & (low.astype(np.int64)[k] < who) & (who != NO_ID)]
+            drop = at[(k >= 0) & (low[k] < who) & (who != NO_ID)]
             gone[drop] += 1
             np.subtract.at(gone, drop + window, 1)
         covered = np.cumsum(gone)[: own.n] > 0

@@ -92,10 +92,19 @@ def bucket_slices(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]
 
 
 def compressed(*arrays: np.ndarray) -> bytes:
-    data = b"".join(a.tobytes() for a in arrays)
+    """Arrays end to end, packed; see ``column`` for how they are read. Signed 64-bit ones (ids, whose
+    high bytes are mostly alike) go byte by byte: all first bytes, then all second ones and so on."""
+    data = b"".join((a.reshape(-1, 1).view(np.uint8).T if a.dtype == np.int64 else a).tobytes() for a in arrays)
     return np.int64(len(data)).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
 
 
+def column(data: bytes, kind: type, count: int, at: int) -> np.ndarray:
+    """``count`` values from byte ``at`` of what ``expanded`` gave."""
+    if kind is not np.int64:
+        return np.frombuffer(data, dtype=kind, count=count, offset=at)
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, count=8 * count, offset=at).reshape(8, count).T).view(np.int64).reshape(-1)
+
+
 def expanded(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, dtype=np.int64, count=1)[0]), codec="zstd", asbytes=True)
 

@@ -23,6 +23,7 @@ from tidemark.llm.exchange import (
     answer,
     bucket_slices,
     chunked,
+    column,
     compressed,
     expanded,
     pair_lookup,
@@ -46,7 +47,7 @@ HOT_CHUNK, HOT = 64, 2048
 NO_RANK = np.iinfo(np.int32).max
 _BASE = 0x9E3779B97F4A7C15
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-#: Base and symbols of the two lanes of a 128-bit hash.
+#: Base and symbols of the two lanes of a hash, of the second of which half is used.
 _LANES = ((_BASE, _SYMBOL), (0xC2B2AE3D27D4EB4F, mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))))
 
 
@@ -213,7 +214,7 @@ class _Bytes:
         return found
 
     def span_hashes(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two lanes of the hash of each byte range."""
+        """The hash of each byte range: 64 bits, and 32 more."""
         if not hasattr(self, "_totals"):
             n = len(self.raw)
             self._totals = []
@@ -227,7 +228,7 @@ class _Bytes:
             x -= total[s]
             x *= _powers(len(self.raw), lane, True)[s]
             out.append(mix64(x + ((e - s).astype(np.uint64) << np.uint64(32))))
-        return out[0], out[1]
+        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
     def piece_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each piece's bytes and of its anchor's place in it."""
@@ -258,8 +259,8 @@ class _Pieces:
     """What one chunk sends a bucket: distinct pieces with the least and the largest doc_id, and
     distinct windows of hot anchors likewise."""
 
-    HEAD = ((np.uint64, 8), (np.uint64, 8), (np.int64, 8), (np.int64, 8), (np.uint8, 1), (np.uint8, 1))
-    WINDOWS = ((np.uint64, 8), (np.uint64, 8), (np.uint64, 8), (np.int64, 8), (np.int64, 8))
+    HEAD = ((np.uint64, 8), (np.uint32, 4), (np.int64, 8), (np.int64, 8), (np.uint8, 1), (np.uint8, 1))
+    WINDOWS = ((np.uint64, 8), (np.uint32, 4), (np.uint64, 8), (np.int64, 8), (np.int64, 8))
 
     @staticmethod
     def pack(own: _Bytes, found: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -280,8 +281,8 @@ class _Pieces:
             raw = own.raw[np.repeat(own.s[part] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
             a, z = hot.get(b, (0, 0))
             yield b, compressed(
-                np.array([hi - lo, z - a], dtype=np.int64), h[lo:hi], g[lo:hi], least[lo:hi], most[lo:hi], size.astype(np.uint8), own.offset[part].astype(np.uint8),
-                wh[a:z], wg[a:z], own.anchor[piece[a:z]], wleast[a:z], wmost[a:z], raw,
+                np.array([hi - lo, z - a], dtype=np.uint64), h[lo:hi], g[lo:hi], least[lo:hi], most[lo:hi] - least[lo:hi], size.astype(np.uint8), own.offset[part].astype(np.uint8),
+                wh[a:z], wg[a:z], own.anchor[piece[a:z]], wleast[a:z], wmost[a:z] - wleast[a:z], raw,
             )
 
     @classmethod
@@ -291,11 +292,14 @@ class _Pieces:
         hot, counts = [[] for _ in cls.WINDOWS], []
         for blob in blobs:
             data = expanded(blob)
-            (n, m), at = np.frombuffer(data, dtype=np.int64, count=2).tolist(), 16
+            (n, m), at = np.frombuffer(data, dtype=np.uint64, count=2).tolist(), 16
             for target, kinds, many in ((columns, cls.HEAD, n), (hot, cls.WINDOWS, m)):
                 for c, (kind, width) in zip(target, kinds, strict=True):
-                    c.append(np.frombuffer(data, dtype=kind, count=many, offset=at))
+                    c.append(column(data, kind, many, at))
                     at += width * many
+                # The largest doc_id is sent as how far it is above the least one, the column before.
+                most = 4 if target is hot else 3
+                target[most][-1] = target[most][-1] + target[most - 1][-1]
             raws.append(np.frombuffer(data, dtype=np.uint8, offset=at))
             sizes.append(n)
             counts.append(m)
@@ -356,15 +360,15 @@ def _resolve(blobs: list[bytes], window: int, k: int, folder: str | None) -> lis
             part = [h[entry], g[entry], value[run], first[run], last[run]]
         own = [x[f - m : f][wide[-1][f - m : f]] for x in wide[:-1]]
         if len(part[0]) or len(own[0]):
-            out.append(compressed(np.array([len(part[0]), len(own[0])], dtype=np.int64), *[x.astype(kind) for x, (kind, _, _) in zip((*part, *own), ANSWER + HOT_ANSWER, strict=True)]))
+            out.append(compressed(np.array([len(part[0]), len(own[0])], dtype=np.uint64), *[x.astype(kind) for x, (kind, _, _) in zip((*part, *own), ANSWER + HOT_ANSWER, strict=True)]))
         else:
             out.append(None)
     return out
 
 
 #: Columns of an answer, as (type, bytes, name).
-ANSWER = ((np.uint64, 8, "h"), (np.uint64, 8, "g"), (np.int64, 8, "low"), (np.uint8, 1, "first"), (np.uint8, 1, "last"))
-HOT_ANSWER = ((np.uint64, 8, "h"), (np.uint64, 8, "g"), (np.uint64, 8, "anchor"), (np.int64, 8, "low"))
+ANSWER = ((np.uint64, 8, "h"), (np.uint32, 4, "g"), (np.int64, 8, "low"), (np.uint8, 1, "first"), (np.uint8, 1, "last"))
+HOT_ANSWER = ((np.uint64, 8, "h"), (np.uint32, 4, "g"), (np.uint64, 8, "anchor"), (np.int64, 8, "low"))
 
 
 def _window_answers(h: np.ndarray, g: np.ndarray, anchor: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -404,9 +408,9 @@ def _answers(found: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     for blob in found:
         data = expanded(blob)
         at = 16
-        for n, kinds, target in zip(np.frombuffer(data, dtype=np.int64, count=2).tolist(), (ANSWER, HOT_ANSWER), parts, strict=True):
-            for (kind, width, _), column in zip(kinds, target, strict=True):
-                column.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
+        for n, kinds, target in zip(np.frombuffer(data, dtype=np.uint64, count=2).tolist(), (ANSWER, HOT_ANSWER), parts, strict=True):
+            for (kind, width, _), into in zip(kinds, target, strict=True):
+                into.append(column(data, kind, n, at))
                 at += width * n
     return tuple([np.concatenate(c) for c in p] for p in parts)
 
@@ -428,9 +432,9 @@ def deduplicate_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     There the distinct pieces, lined up at their anchors, are suffix-sorted column by column; rows
     whose common prefix is a window or longer hold the same string, so the smallest doc_id of such
     an interval is known for each window of each piece. (3) Bytes are removed. Pieces of equal bytes
-    are recognised by 128 bits of hash; whatever differs is compared byte by byte in the sorting.
+    are recognised by 96 bits of hash; whatever differs is compared byte by byte in the sorting.
     An anchor that very many documents have would fill its bucket, so the windows of a hot one (see
-    HOT) go to buckets by their own 128 bits of hash and are compared by them.
+    HOT) go to buckets by their own 96 bits of hash and are compared by them.
     """
     rows, buckets = chunked(docs, chunk_bytes, keep, buckets_per_chunk=1.0)
     folder = openable(checkpoint_dir(docs.sparkSession))

@@ -136,7 +136,7 @@ def sampled_shards(tables: int, sample: int, bits: int, seed: int = 7) -> list[l
 def sample_plan(rows: int) -> tuple[int, int]:
     """(tables, bits of a sample) for so many fingerprints: a longer sample keeps shards small, and
     more tables keep the chance that a pair of similarity 0.8 shares one."""
-    more = (rows >> 19).bit_length()
+    more = (rows >> 20).bit_length()
     return -int(-TABLES // 0.85**more), SAMPLE + more
 
 
@@ -232,8 +232,10 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
 #: For near-duplicates by shingles: 64-bit lanes that shards sample, and those that trees hold; tables
 #: of sampled bits and bits of a sample; and the radius within which pairs are verified. At a
 #: similarity of 0.8 a pair differs in 15 of 100 bits on average, give or take 2, so that 64 samples
-#: of 12 bits miss about one such pair in 1,000 (16 bits: one in 50).
-LANES, TREE_LANES, TABLES, SAMPLE, RADIUS = 4, 2, 64, 12, 40
+#: of 14 bits miss about one such pair in 200. Shorter samples miss fewer, but their shards grow.
+LANES, TREE_LANES, TABLES, SAMPLE, RADIUS = 4, 2, 64, 14, 40
+#: Fingerprints that one tree of such a shard may hold.
+NEAR_NODES = 4096
 #: Texts of at most so many distinct shingles, whose fingerprints vary more, are joined exactly.
 SHORT = 64
 
@@ -362,7 +364,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, short boolean, " + ", ".join(f"{x} long" for x in lanes))
     texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in ("short", *lanes)])
     texts = cut(texts.withColumn("v", F.monotonically_increasing_id()))
-    near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(*sample_plan(texts.count()), 64 * LANES), LANES, TREE_LANES)
+    near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(*sample_plan(texts.count()), 64 * LANES), LANES, TREE_LANES, NEAR_NODES)
     labels = cut(connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose")))
     needed = labels.select("v").unionByName(texts.where("short").select("v")).distinct()
     wanted = texts.join(needed, "v", "left_semi").select("v", "id", "h1", "h2")

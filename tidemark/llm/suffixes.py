@@ -215,18 +215,19 @@ class _Bytes:
 
     def span_hashes(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each byte range: 64 bits, and 32 more."""
-        if not hasattr(self, "_totals"):
-            n = len(self.raw)
-            self._totals = []
-            for lane, (_, symbols) in enumerate(_LANES):
-                total = np.zeros(n + 1, dtype=np.uint64)
-                np.cumsum(symbols[self.raw] * _powers(n, lane, False)[:n], out=total[1:])
-                self._totals.append(total)
-        out = []
-        for lane, total in enumerate(self._totals):
+        n, out = len(self.raw), []
+        if not len(s):
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+        for lane, (_, symbols) in enumerate(_LANES):
+            total = np.zeros(n + 1, dtype=np.uint64)
+            powers = (_large(n, lane, False)[:, None] * _small(lane, False)[None, :]).reshape(-1)[:n]
+            powers *= symbols[self.raw]
+            np.cumsum(powers, out=total[1:])
+            del powers
             x = total[e]
             x -= total[s]
-            x *= _powers(len(self.raw), lane, True)[s]
+            x *= _small(lane, True)[s & ((1 << _STEP) - 1)]
+            x *= _large(n, lane, True)[s >> _STEP]
             out.append(mix64(x + ((e - s).astype(np.uint64) << np.uint64(32))))
         return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
@@ -242,17 +243,24 @@ class _Bytes:
         return self.s[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many), of
 
 
-@lru_cache(maxsize=4)
-def _table(size: int, lane: int, back: bool) -> np.ndarray:
+_STEP = 11
+
+
+@lru_cache(maxsize=8)
+def _small(lane: int, back: bool) -> np.ndarray:
+    """The first powers of a lane's base, or of its inverse."""
     base = _LANES[lane][0]
-    out = np.full(size, pow(base, -1, 1 << 64) if back else base, dtype=np.uint64)
+    out = np.full(1 << _STEP, pow(base, -1, 1 << 64) if back else base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, out=out)
 
 
-def _powers(n: int, lane: int, back: bool) -> np.ndarray:
-    """Powers 0 to n of a lane's base, or of its inverse; kept between the chunks of a task."""
-    return _table(1 << n.bit_length(), lane, back)
+def _large(n: int, lane: int, back: bool) -> np.ndarray:
+    """Every so many a power, as many as reach power n: the rest are products of two."""
+    base = pow(_LANES[lane][0], (-1 if back else 1) << _STEP, 1 << 64)
+    out = np.full((n >> _STEP) + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
 
 
 class _Pieces:

@@ -75,6 +75,8 @@ def _ranges(flow: dict[tuple[int, int], int]) -> dict[int, list[tuple[int, int]]
 #: Groups of equal texts that may be placed by the driver one by one: those over a thousandth of a
 #: shard's bytes or rows, which are two thousand for each shard at most.
 LARGE = 1000
+#: A shard may go over its even share by a fiftieth to keep a large group whole.
+SLACK = 50
 
 
 def _place_large(large: list[tuple], capacity: dict[int, int]) -> tuple[dict[tuple, int], list[tuple]]:
@@ -83,14 +85,17 @@ def _place_large(large: list[tuple], capacity: dict[int, int]) -> tuple[dict[tup
     Takes their bytes off ``capacity``. Groups that no shard has room for come back as the second.
     """
     placed, split = {}, []
+    slack = sum(capacity.values()) // (len(capacity) * SLACK)
     for key, size, home in sorted(large, key=lambda g: (-g[1], g[0])):
         roomiest = max(capacity, key=lambda j: (capacity[j], -j))
         at = home if capacity.get(home, -1) >= size else roomiest
-        if capacity[at] >= size:
+        if capacity[at] + slack >= size:
             placed[key] = at
             capacity[at] -= size
         else:
             split.append(key)
+    for j in capacity:
+        capacity[j] = max(0, capacity[j])
     return placed, split
 
 

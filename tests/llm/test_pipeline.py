@@ -184,6 +184,46 @@ def test_recall_by_pair_and_by_document(spark):
     assert joined >= 0.98 * len(pairs) and found >= 0.98 * gone
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_twice_at_most(spark):
+    """Once to be compared and once to be kept; no sets of shingles beside them."""
+    rows = edits_of_one_template(8, (20,), words=4000) + [(100 + i, *edits_of_one_template(1, (1,), seed=100 + i, words=4000)[0][1:]) for i in range(150)]
+    rows += [(1000 + r[0], r[1] + " more", *r[2:]) for r in rows[:80]]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(4).checkpoint()
+    before = shuffled(spark)
+    docs.repartition(4).write.format("noop").mode("overwrite").save()
+    once = shuffled(spark) - before
+    assert one_of_each_group(docs).count() == 151
+    before = shuffled(spark)
+    one_of_each_group(docs).write.format("noop").mode("overwrite").save()
+    after = shuffled(spark) - before
+    print(f"{after} bytes, {after / once:.2f} of the texts")
+    assert after < 3 * once
+
+
+def test_rows_that_repeat_with_and_without_a_number(spark):
+    """Of rows with one text and doc_id one stays, with its columns, whatever the text."""
+    long = edits_of_one_template(1, (1,))[0][1]
+    rows = [(i, t, "en", "s", 1) for t in (long, "a b", "", None) for i in (3, 3, 4, None, None)]
+    got = one_of_each_group(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert sorted((r.doc_id, (r.text or "").strip(), r.lang, r.n_chars) for r in got) == sorted([(3, long, "en", 1), (3, "a b", "en", 1), (3, "", "en", 1)])
+    none = one_of_each_group(spark.createDataFrame([(None, t, "en", "s", 1) for t in (long, long, "a b", "a b")], COLUMNS)).collect()
+    assert sorted((r.doc_id is None, r.text) for r in none) == sorted([(True, long), (True, "a b")])
+
+
+def test_all_texts_joined_exactly(spark):
+    rows = edits_of_one_template(60, (3, 4, 5, 6))
+    got = {r.id: r.kept_id for r in near_groups(spark.createDataFrame(rows, COLUMNS), short=None).collect()}
+    assert got == groups_brute(rows)
+
+
 def test_exact_links_over_split_keys(spark):
     rows = edits_of_one_template(120, (3, 4, 5), seed=2)
     want = groups_brute(rows)

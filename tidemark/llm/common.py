@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that nothing refers to any more deleted now: Spark deletes them when
+    the driver's garbage is collected, and a driver that only waits may not do that for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -130,13 +138,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 HOT_KEYS = 50_000
 
 
-def cells(df: DataFrame, key: list[str], spread: str, limit: int, weight: str | None = None) -> DataFrame:
-    """Rows dealt to cells (i, j) of their key, each of which holds two parts of it at most.
+def parts(df: DataFrame, key: list[str], spread: str, limit: int, weight: str | None = None) -> DataFrame:
+    """Rows with ``_k``, the number of parts of their key, and ``part``, theirs, by a hash of ``spread``.
 
-    A key of up to ``limit`` rows is one cell, (0, 0). A larger one has its rows dealt by a hash of
-    ``spread`` to parts of about ``limit`` rows, and each pair of parts meets in one cell, so every
-    pair of rows meets and no task holds a hot key whole. Adds ``i, j, part``; sorted by them.
-    With a column ``weight`` the limit is one of its sum, not of rows.
+    A key of up to ``limit`` rows is one part, a larger one has parts of about ``limit`` rows. With a
+    column ``weight`` the limit is one of its sum, not of rows.
     """
     spark = df.sparkSession
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -146,10 +152,25 @@ def cells(df: DataFrame, key: list[str], spread: str, limit: int, weight: str |
     if len(few) <= HOT_KEYS:
         hot = F.broadcast(spark.createDataFrame(few, hot.schema))
     parted = df.join(hot, key, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    parted = parted.withColumn("part", F.pmod(F.xxhash64(spread), F.col("_k")).cast("int"))
+    return parted.withColumn("part", F.pmod(F.xxhash64(spread), F.col("_k")).cast("int"))
+
+
+def deal(parted: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with ``_k, part`` in cells (i, j) of their key: each pair of its parts meets in one."""
     dealt = parted.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "_o"), "j": F.greatest("part", "_o")}).drop("_k", "_o")
-    return dealt.repartition(shuffle_partitions(spark), *key, "i", "j").sortWithinPartitions(*key, "i", "j", "part")
+    return dealt.repartition(shuffle_partitions(parted.sparkSession), *key, "i", "j").sortWithinPartitions(*key, "i", "j", "part")
+
+
+def cells(df: DataFrame, key: list[str], spread: str, limit: int, weight: str | None = None) -> DataFrame:
+    """Rows dealt to cells (i, j) of their key, each of which holds two parts of it at most.
+
+    A key of up to ``limit`` rows is one cell, (0, 0). A larger one has its rows dealt by a hash of
+    ``spread`` to parts of about ``limit`` rows, and each pair of parts meets in one cell, so every
+    pair of rows meets and no task holds a hot key whole. Adds ``i, j, part``; sorted by them.
+    With a column ``weight`` the limit is one of its sum, not of rows.
+    """
+    return deal(parts(df, key, spread, limit, weight), key)
 
 
 def cell_tables(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:

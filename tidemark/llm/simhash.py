@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import UnionFind, cell_tables, cells, cut, mix64, releasing, words_of
+from tidemark.llm.common import UnionFind, cell_tables, cells, cut, deal, drop_shuffles, mix64, parts, releasing, words_of
 from tidemark.llm.components import connected_components
 
 #: Fingerprints that one tree may hold; a shard with more is split into cells of two such parts.
@@ -28,14 +28,16 @@ def shingles(words: list[bytes], k: int) -> list[bytes]:
     return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
 
 
-def fingerprint(words: list[bytes], k: int, lanes: int = 1, distinct: bool = False) -> tuple[int, ...]:
+def fingerprint(words: list[bytes], k: int, lanes: int = 1) -> tuple[int, ...]:
     """``lanes`` unsigned 64-bit words; a bit is 1 if set in over half of the shingle hashes.
 
-    Shingles count as often as they occur, or once each if ``distinct``. One lane is of XXH64 with seed 42; an even number of lanes is of 128-bit hashes. No words: zero.
+    Shingles count as often as they occur. One lane is of XXH64 with seed 42; an even number of lanes is of 128-bit hashes. No words: zero.
     """
-    runs = shingles(words, k)
-    if distinct:
-        runs = list(dict.fromkeys(runs))
+    return majority(shingles(words, k), lanes)
+
+
+def majority(runs: list[bytes], lanes: int = 1) -> tuple[int, ...]:
+    """The fingerprint of these shingles."""
     if not runs:
         return (0,) * lanes
     set_bits = np.zeros(64 * lanes, dtype=np.int64)
@@ -47,8 +49,8 @@ def fingerprint(words: list[bytes], k: int, lanes: int = 1, distinct: bool = Fal
             digests = [b"".join(xxhash.xxh3_128_digest(r, seed) for r in part) for seed in range(lanes // 2)]
             raw = np.concatenate([np.frombuffer(d, dtype=np.uint8).reshape(-1, 16) for d in digests], axis=1)
         set_bits += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    majority = set_bits * 2 > len(runs)
-    return tuple(np.packbits(majority, bitorder="little").view("<u8").tolist())
+    over = set_bits * 2 > len(runs)
+    return tuple(np.packbits(over, bitorder="little").view("<u8").tolist())
 
 
 class BKTree:
@@ -233,28 +235,21 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
 #: of sampled bits and bits of a sample; and the radius within which pairs are verified. At a
 #: similarity of 0.8 a pair differs in 15 of 100 bits on average, give or take 2, so that 64 samples
 #: of 14 bits miss about one such pair in 200. Shorter samples miss fewer, but their shards grow.
-LANES, TREE_LANES, TABLES, SAMPLE, RADIUS = 4, 2, 64, 14, 40
+#: Of 192 bits such a pair differs in 29, give or take 5, and an unlike one in 96, give or take 7: within
+#: the radius lies one unlike pair in 3e8. (Within 40 of 128 bits, one in 7e4: a million texts then
+#: have over ten such partners each, and grow together to one loose component.)
+LANES, TREE_LANES, TABLES, SAMPLE, RADIUS = 4, 3, 64, 14, 56
 #: Fingerprints that one tree of such a shard may hold.
 NEAR_NODES = 4096
 #: Texts of at most so many distinct shingles, whose fingerprints vary more, are joined exactly.
 SHORT = 64
 
 
-def shingle_sets(rows: DataFrame, k: int, lower: bool = True) -> DataFrame:
-    """``v, shingles``: the distinct hashed k-word shingles of the texts of ``rows(v, text)``; a text
-    without words has the one shingle 0, so such texts are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = []
-                for t in batch.column(1):
-                    h = np.array([xxhash.xxh64_intdigest(r) for r in shingles(words_of(t.as_py(), lower), k)], dtype=np.uint64)
-                    sets.append(np.unique(h).view(np.int64) if len(h) else np.zeros(1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["v", "shingles"])
-
-    return rows.select("v", "text").mapInArrow(releasing(run), "v long, shingles array<long>")
+def shingle_set(runs: list[bytes]) -> np.ndarray:
+    """The distinct hashed shingles in order; none: the one shingle 0, so texts without words are alike."""
+    if not runs:
+        return np.zeros(1, dtype=np.int64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], dtype=np.uint64)).view(np.int64)
 
 
 #: Shingles in a part of a group whose pairs are compared on their sets, and what a row counts besides.
@@ -314,13 +309,53 @@ def exact_links(rows: DataFrame, key: str, similarity: float, part_shingles: int
             sets = cell.column("shingles").combine_chunks()
             sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
             flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))
-            found = _joined(cell.column("v").to_numpy(), np.split(flat, ends[:-1]), similarity)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+            yield from _found(_joined(cell.column("v").to_numpy(), np.split(flat, ends[:-1]), similarity))
+
+    return dealt.mapInArrow(releasing(run), "a long, b long")
+
+
+def _found(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
+
+
+def exact_text_links(rows: DataFrame, texts: DataFrame, key: str, k: int, similarity: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """``exact_links`` of texts that are still to be fetched.
+
+    ``rows`` has the key, ``v, n`` (its distinct shingles) and the text's ``h1, h2, id``; ``texts`` has
+    ``row`` (the text) and what ``first_rows`` matches. Texts go to the cells, and their sets are made
+    there: they are less than half of their sets, and no set is written.
+    """
+    weighed = rows.withColumn("_w", F.col("n") + ROW_SHINGLES)
+    parted = parts(weighed, [key], "v", part_shingles, "_w").select(key, "v", "_k", "part", "h1", "h2", "id")
+    dealt = deal(first_rows(texts, parted).select(key, "v", "_k", "part", "row"), [key]).select(key, "i", "j", "v", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cell in cell_tables(batches, 3):
+            if cell.num_rows > 1:
+                sets = [shingle_set(shingles(words_of(t.as_py(), True), k)) for t in cell.column("row")]
+                yield from _found(_joined(cell.column("v").to_numpy(), sets, similarity))
 
     return dealt.mapInArrow(releasing(run), "a long, b long")
 
 
+def by_text(rows: DataFrame, row: Column) -> DataFrame:
+    """``row`` and what tells the rows of a text and doc_id: ``h1, h2, _id, _none``."""
+    number = F.col("doc_id").cast("long")
+    return rows.select(row.alias("row"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.coalesce(number, F.lit(0)).alias("_id"), number.isNull().alias("_none"))
+
+
+def first_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (no two of the same ``h1, h2, id``) with the ``row`` of one of ``rows``, as by_text gives
+    them, that has this text and doc_id. The rows are shuffled once; copies are told by their doc_id,
+    so the rows of a text that is repeated very often go to many tasks. Merged, as the rows stay
+    where they met for the aggregation; after a broadcast they would be shuffled again."""
+    keys, others = ["h1", "h2", "_id", "_none"], [c for c in wanted.columns if c not in ("h1", "h2")]
+    keyed = wanted.withColumns({"_id": F.coalesce("id", F.lit(0)), "_none": F.col("id").isNull()})
+    met = rows.join(keyed.hint("merge"), keys).groupBy(*keys)
+    return met.agg(F.first("row").alias("row"), *[F.first(c).alias(c) for c in others])
+
+
 def short_links(sets: DataFrame, similarity: float, most: int | None = SHORT) -> DataFrame:
     """``a, b``: links that join all similar pairs of ``sets(v, shingles)`` of ``most`` shingles or fewer
     (None: of any number).
@@ -343,38 +378,43 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     BK-trees over shards of sampled bits, as the closest-first spanning forests of pairs within the
     radius. A forest connects what all candidates do, so every candidate pair lies within a component
     of the forests, and the texts of such a component are linked on their exact sets: a false
-    candidate takes no true one's place, and a set is sent once, however many candidates it is in.
-    Texts of ``short`` shingles or fewer are joined exactly besides; with None all texts are, at the
+    candidate takes no true one's place, and a text is sent once, however many candidates it is in.
+    Texts of ``short`` shingles or fewer are joined exactly; with None all texts are, at the
     price of a row for each of a fifth of a text's shingles. Texts without words are one group.
     """
+    spark = docs.sparkSession
     identity = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity)
     lanes = [f"f{i}" for i in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, few = [], []
-            for t in batch.column(1):
-                w = words_of(t.as_py(), True)
-                prints.append(fingerprint(w, k, LANES, distinct=True))
-                few.append(bool(w) and (short is None or len(w) <= short + k - 1 or len(set(shingles(w, k))) <= short))
-            parts = [pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64), pa.int64()) for i in range(LANES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(few, pa.bool_()), *parts], ["doc_id", "h1", "h2", "short", *lanes])
-
-    prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, short boolean, " + ", ".join(f"{x} long" for x in lanes))
-    texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in ("short", *lanes)])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                prints, sizes, few = [], [], []
+                for t in batch.column(1):
+                    runs = list(dict.fromkeys(shingles(words_of(t.as_py(), True), k)))
+                    prints.append(majority(runs, LANES))
+                    sizes.append(max(1, len(runs)))
+                    few.append(shingle_set(runs) if short is None or len(runs) <= short else None)
+                own = [pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64), pa.int64()) for i in range(LANES)]
+                sets = pa.array(few, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sizes, pa.int32()), sets, *own], ["doc_id", "h1", "h2", "n", "shingles", *lanes])
+
+    prints = keyed.mapInArrow(releasing(run), "doc_id long, h1 long, h2 long, n int, shingles array<long>, " + ", ".join(f"{x} long" for x in lanes))
+    texts = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(x).alias(x) for x in ("n", "shingles", *lanes)])
     texts = cut(texts.withColumn("v", F.monotonically_increasing_id()))
-    near = links(texts.withColumn("id", F.col("v")), radius, sampled_shards(*sample_plan(texts.count()), 64 * LANES), LANES, TREE_LANES, NEAR_NODES)
+    # A text of so few shingles that all texts like it are short is joined exactly only.
+    long = texts.where(F.lit(short is not None) & (F.col("n") > int(similarity * (short or 0) + 1e-9))).select(F.col("v").alias("id"), *lanes)
+    near = links(long, radius, sampled_shards(*sample_plan(long.count()), 64 * LANES), LANES, TREE_LANES, NEAR_NODES)
     labels = cut(connected_components(near).select(F.col("id").alias("v"), F.col("component").alias("loose")))
-    needed = labels.select("v").unionByName(texts.where("short").select("v")).distinct()
-    wanted = texts.join(needed, "v", "left_semi").select("v", "id", "h1", "h2")
-    # One row for each text: the one that gave the id. Repeated rows of it have equal sets.
-    rows = keyed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = cut(shingle_sets(rows, k).dropDuplicates(["v"]))
-    more = exact_links(labels.join(sets, "v").select("loose", "v", "shingles"), "loose", similarity)
-    whole = more.unionByName(short_links(sets, similarity, short))
+    drop_shuffles(spark)
+    loose = labels.join(texts.select("v", "id", "h1", "h2", "n"), "v")
+    more = exact_text_links(loose, by_text(docs, F.col("text")), "loose", k, similarity)
+    whole = more.unionByName(short_links(texts.where("shingles is not null").select("v", "shingles"), similarity, short))
     groups = texts.join(connected_components(whole).withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
     groups = cut(groups.select("h1", "h2", "id", "g"))
+    drop_shuffles(spark)
     least = groups.groupBy("g").agg(F.min("id").alias("kept_id"))
     return groups.join(least, "g").select("h1", "h2", "id", "kept_id", "g")
 
@@ -390,11 +430,5 @@ def one_of_each_group(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     kept = groups.where(F.col("id").eqNullSafe(F.col("kept_id")))
     # Two texts of one group may share the smallest doc_id; the smaller hash stays.
     kept = kept.groupBy("g").agg(F.min(F.struct("h1", "h2", "id")).alias("s")).select("s.*")
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    stay = rows.join(kept, ["h1", "h2"]).where(F.col("_id").eqNullSafe(F.col("id")))
-    repeated = rows.groupBy("h1", "h2", "_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = [stay[c].eqNullSafe(repeated[c]) for c in ("h1", "h2", "_id")]
-    alone = stay.join(repeated, twice, "left_anti")
-    merged = stay.join(repeated, twice, "left_semi").groupBy("h1", "h2", "_id").agg(F.first("row").alias("row"))
-    return alone.select("row.*").unionByName(merged.select("row.*"))
+    rows = by_text(docs, F.struct(*docs.columns))
+    return first_rows(rows, kept.select("h1", "h2", "id")).select("row.*")
